@@ -88,21 +88,40 @@ def pieces(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return at[s], at[e], h
 
 
+class Pool:
+    """Variable-length runs of values, addressed by slot."""
+
+    def __init__(self, kind: type):
+        self.kind, self.values = kind, np.zeros(0, kind)
+        self.at, self.size = np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def insert(self, where: np.ndarray, values: np.ndarray, sizes: np.ndarray) -> None:
+        at = len(self.values) + np.cumsum(sizes) - sizes
+        self.values = np.concatenate([self.values, values.astype(self.kind)])
+        self.at, self.size = np.insert(self.at, where, at), np.insert(self.size, where, sizes)
+
+    def gather(self, slots: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The runs of these slots one after the other, and where each begins (one more at the end)."""
+        at, size = self.at[slots], self.size[slots]
+        bounds = np.concatenate([[0], np.cumsum(size)])
+        return self.values[np.repeat(at - bounds[:-1], size) + np.arange(bounds[-1])], bounds
+
+
 class PieceIds:
-    """Ids of pieces by hash; ``encode`` gets the new distinct pieces' bytes and returns ids and lengths."""
+    """Ids of pieces by hash. ``encode`` gets new distinct pieces and returns ids and lengths;
+    ``decode``, if given, gets those and returns bytes and lengths. At most about ``most`` pieces
+    are remembered; then the memory starts afresh, which costs time and changes nothing."""
 
-    def __init__(self, encode: Callable[[list[bytes]], tuple[np.ndarray, np.ndarray]], most: int = 1 << 20):
-        self.encode, self.most = encode, most
+    def __init__(self, encode: Callable, decode: Callable | None = None, most: int = 1 << 20):
+        self.encode, self.decode, self.most = encode, decode, most
         self.clear()
 
     def clear(self) -> None:
         self.known = np.zeros(0, np.uint64)
-        self.at = np.zeros(0, np.int64)
-        self.size = np.zeros(0, np.int64)
-        self.pool = np.zeros(0, np.int32)
+        self.ids, self.raw = Pool(np.int32), Pool(np.uint8)
 
     def learn(self, buf: np.ndarray, start: np.ndarray, end: np.ndarray, keys: np.ndarray) -> np.ndarray:
-        """Make every piece known; returns where each stands in the cache."""
+        """Make every piece known; returns the slot of each."""
         if len(self.known) > self.most:
             self.clear()
         distinct, where, back = np.unique(keys, return_index=True, return_inverse=True)
@@ -114,23 +133,21 @@ class PieceIds:
         if len(new):
             raw = buf.tobytes()
             ids, sizes = self.encode([raw[a:b] for a, b in zip(start[where[new]].tolist(), end[where[new]].tolist(), strict=True)])
-            at = len(self.pool) + np.cumsum(sizes) - sizes
-            self.pool = np.concatenate([self.pool, ids.astype(np.int32)])
+            self.ids.insert(pos[new], ids, sizes)
+            if self.decode:
+                self.raw.insert(pos[new], *self.decode(ids, sizes))
             self.known = np.insert(self.known, pos[new], distinct[new])
-            self.at = np.insert(self.at, pos[new], at)
-            self.size = np.insert(self.size, pos[new], sizes)
             pos = np.searchsorted(self.known, distinct)
         return pos[back]
 
-    def encode_rows(self, buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all rows one after the other, and where each row's begin."""
+    def slots(self, buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The slot of every piece, and the number of pieces before each row (one more at the end)."""
         start, end, keys = pieces(buf, offsets)
-        if not len(start):
-            return np.zeros(0, np.int32), np.zeros(len(offsets), np.int64)
-        slot = self.learn(buf, start, end, keys)
-        at, size = self.at[slot], self.size[slot]
-        before = np.cumsum(size)
-        total = int(before[-1])
-        ids = self.pool[np.repeat(at - (before - size), size) + np.arange(total)]
-        upto = np.append(np.searchsorted(start, offsets[:-1]), len(start))
-        return ids, np.concatenate([[0], before])[upto]
+        slot = self.learn(buf, start, end, keys) if len(start) else np.zeros(0, np.int64)
+        return slot, np.append(np.searchsorted(start, offsets[:-1]), len(start))
+
+    def encode_rows(self, buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all rows one after the other, and where each row's begin (one more at the end)."""
+        slot, upto = self.slots(buf, offsets)
+        ids, bounds = self.ids.gather(slot)
+        return ids, bounds[upto]

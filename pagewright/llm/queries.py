@@ -6,11 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import packing, simhash
+from . import boosting, bpe, langid, packing, quality, simhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_quality_rules": quality.op3_quality_rules,
+    "op5_byte_bpe": bpe.op5_byte_bpe,
+    "op6_quality_classifier": boosting.op6_quality_classifier,
     "op7_packing": packing.op7_packing,
     "op8_simhash_near_dedup": simhash.op8_simhash_near_dedup,
+    "op10_language_id": langid.op10_language_id,
 }
 
 ORACLE_SQL: dict[str, str] = {}
