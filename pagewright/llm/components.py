@@ -30,6 +30,17 @@ class Forest:
         return True
 
 
+    def link_all(self, i: np.ndarray, j: np.ndarray) -> list[tuple[int, int]]:
+        """Link all pairs; returns those that joined two trees."""
+        while (self.up[self.up] != self.up).any():
+            self.up = self.up[self.up]
+        a, b = self.up[i], self.up[j]
+        apart = np.flatnonzero(a != b)
+        _, first = np.unique(np.stack([a[apart], b[apart]]), axis=1, return_index=True)
+        apart = apart[first]
+        return [(u, v) for u, v in zip(i[apart].tolist(), j[apart].tolist(), strict=True) if self.link(u, v)]
+
+
 def components(spark: SparkSession, edges: DataFrame) -> DataFrame:
     """``(a, b)`` long pairs to ``(node, root)``: root is the least node reachable.
 

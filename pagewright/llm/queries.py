@@ -6,14 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import boosting, bpe, langid, packing, quality, simhash
+from . import boosting, bpe, langid, packing, quality, simhash, toxicity, vectors
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_quality_rules": quality.op3_quality_rules,
+    "op4_toxicity": toxicity.op4_toxicity,
     "op5_byte_bpe": bpe.op5_byte_bpe,
     "op6_quality_classifier": boosting.op6_quality_classifier,
     "op7_packing": packing.op7_packing,
     "op8_simhash_near_dedup": simhash.op8_simhash_near_dedup,
+    "op9_embedding_near_dedup": vectors.op9_embedding_near_dedup,
     "op10_language_id": langid.op10_language_id,
 }
 

@@ -176,9 +176,7 @@ def near_links(full: np.ndarray, side: int) -> list[tuple[int, int]]:
         rows = full[ids]
         if len(ids) <= LEAF:
             i, j = np.nonzero(np.triu(np.bitwise_count(rows[:, None] ^ rows[None, :]) <= RADIUS, 1))
-            for a, b in zip(ids[i].tolist(), ids[j].tolist(), strict=True):
-                if forest.link(a, b):
-                    out.append((a, b))
+            out += forest.link_all(ids[i], ids[j])
             continue
         parts = _split(_half(rows, side), rows, turn)
         if parts is None:
