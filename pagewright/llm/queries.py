@@ -6,9 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import boosting, bpe, langid, packing, quality, simhash, toxicity, vectors
+from . import boosting, bpe, html, langid, packing, quality, simhash, toxicity, urls, vectors
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_html_extraction": html.op1_html_extraction,
+    "op2_url_filters": urls.op2_url_filters,
     "op3_quality_rules": quality.op3_quality_rules,
     "op4_toxicity": toxicity.op4_toxicity,
     "op5_byte_bpe": bpe.op5_byte_bpe,
@@ -19,4 +21,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_language_id": langid.op10_language_id,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op2_url_filters": urls.oracle_sql()}
