@@ -103,7 +103,7 @@ def judge(pages: DataFrame, rule_list: list[Rule] | None = None) -> DataFrame:
     codes = lambda t: F.aggregate(F.split(t, ""), F.lit(0), lambda a, c: a + F.ascii(c))
     fetched = F.flatten(F.transform("tokens", lambda t: F.filter(F.get(known, F.pmod(codes(t), F.lit(n))), lambda e: e["token"] == t)))
     rows = rows.withColumn("candidates", fetched)
-    rows = rows.withColumn("fits", F.filter("candidates", lambda e: F.col("place").rlike(e["pattern"])))
+    rows = rows.withColumn("fits", F.filter("candidates", lambda e: F.rlike("place", e["pattern"])))
     host_fits = F.filter("fits", lambda e: e["rule"].isNotNull())
     longest = F.array_max(F.transform(host_fits, lambda e: F.struct(F.length(e["rule"]).alias("n"), e["rule"].alias("rule"), e["verdict"].alias("verdict"))))
     rows = rows.withColumn("chosen", longest)
