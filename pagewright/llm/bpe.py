@@ -59,6 +59,38 @@ WITH RECURSIVE step(word, pos, id, next_id, next_pos, live) AS (
 SELECT word, id FROM step WHERE NOT live ORDER BY word, pos
 """
 
+#: The same for very long words, whose leftmost least pairs would take one round each: a round
+#: contracts all pairs of the least rank, in a chain of overlapping ones every other from the left.
+#: A contraction never makes a pair of lower rank, so the result is that of one at a time.
+LONG_SQL = """
+WITH RECURSIVE step(word, pos, id, live) AS (
+    SELECT word, pos, id, true FROM base
+  UNION ALL
+    SELECT word, pos, CASE WHEN take THEN least ELSE id END, least IS NOT NULL
+    FROM (
+        SELECT word, pos, id, least, take, lag(take, 1, false) OVER line AS gone
+        FROM (
+            SELECT word, pos, id, least, hit AND row_number() OVER (PARTITION BY word, hit, place - hits ORDER BY pos) % 2 = 1 AS take
+            FROM (
+                SELECT *, row_number() OVER line AS place, sum(hit::INTEGER) OVER line AS hits
+                FROM (
+                    SELECT *, min(rank) OVER (PARTITION BY word) AS least, coalesce(rank = min(rank) OVER (PARTITION BY word), false) AS hit
+                    FROM (
+                        SELECT a.word, a.pos, a.id, m.id AS rank
+                        FROM (SELECT word, pos, id, lead(id) OVER (PARTITION BY word ORDER BY pos) AS beside FROM step WHERE live) a
+                        LEFT JOIN merges m ON m.l = a.id AND m.r = a.beside
+                    )
+                ) WINDOW line AS (PARTITION BY word ORDER BY pos)
+            )
+        ) WINDOW line AS (PARTITION BY word ORDER BY pos)
+    )
+    WHERE NOT gone
+)
+SELECT word, id FROM step WHERE NOT live ORDER BY word, pos
+"""
+#: Words of more bytes than this are long.
+LONG_BYTES = 48
+
 DECODE_SQL = """
 SELECT t.word, from_hex(string_agg(v.hex, '' ORDER BY t.pos)) AS raw
 FROM tokens t JOIN vocabulary v ON v.id = t.id GROUP BY t.word ORDER BY t.word
@@ -98,6 +130,22 @@ class Engine:
 
     def encode(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all pieces one after the other, and how many each has."""
+        long = [i for i, p in enumerate(pieces) if len(p) > LONG_BYTES]
+        if not long:
+            return self._encode(pieces, ENCODE_SQL)
+        short = [i for i, p in enumerate(pieces) if len(p) <= LONG_BYTES]
+        parts = [(which, *self._encode([pieces[i] for i in which], sql)) for which, sql in ((short, ENCODE_SQL), (long, LONG_SQL))]
+        sizes = np.zeros(len(pieces), np.int64)
+        for which, _, n in parts:
+            sizes[which] = n
+        ends = np.cumsum(sizes)
+        ids = np.zeros(int(ends[-1]), np.int32)
+        for which, got, n in parts:
+            first = (ends - sizes)[which]
+            ids[np.repeat(first - (np.cumsum(n) - n), n) + np.arange(len(got))] = got
+        return ids, sizes
+
+    def _encode(self, pieces: list[bytes], sql: str) -> tuple[np.ndarray, np.ndarray]:
         sizes = np.fromiter(map(len, pieces), np.int64, len(pieces))
         ends = np.cumsum(sizes)
         ids, counts, lo = [np.zeros(0, np.int32)], [np.zeros(0, np.int64)], 0
@@ -110,7 +158,7 @@ class Engine:
             last = np.append(word[1:] != word[:-1], True)
             beside = pa.array(np.append(id_[1:], 0).astype(np.int32), mask=last)
             base = pa.table({"word": word, "pos": pos.astype(np.int32), "id": id_, "next_id": beside})
-            got = self._load("base", base, ENCODE_SQL)
+            got = self._load("base", base, sql)
             ids.append(got.column("id").to_numpy())
             counts.append(np.bincount(got.column("word").to_numpy(), minlength=hi - lo))
             lo = hi
