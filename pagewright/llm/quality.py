@@ -24,7 +24,7 @@ MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
 #: Kept if the probability of good quality reaches this.
 THRESHOLD = 0.25
 #: Labelled rows of each class that the fit reads at most; the fold kept apart for calibration.
-ROWS_PER_CLASS, FOLDS, CALIBRATION = 3000, 5, 1
+ROWS_PER_CLASS, FOLDS, CALIBRATION = 1500, 5, 1
 BITS = 16
 SYMBOLS = b"#*$%&|<>"
 U = np.uint64
@@ -156,10 +156,15 @@ def fit(column: pa.Array, label: np.ndarray, apart: np.ndarray, rounds: int = 12
         for row, bucket in _buckets(w):
             key, count = np.unique(row * size + bucket, return_counts=True)
             r = key // size
-            parts.append((r + base, key % size, count / np.bincount(row, minlength=w.n)[r]))
+            share = count / np.bincount(row, minlength=w.n)[r]
+            parts.append(((r + base).astype(np.int32), (key % size).astype(np.int32), share.astype(np.float32)))
         base += w.n
-    row, col, val = (np.concatenate(x) for x in zip(*parts, strict=True)) if parts else (np.zeros(0, int),) * 3
-    use, col = np.unique(col, return_inverse=True)
+    row, col, val = (np.concatenate(x) for x in zip(*parts, strict=True)) if parts else (np.zeros(0, np.int32),) * 3
+    parts.clear()
+    use = np.flatnonzero(np.bincount(col, minlength=size))
+    place = np.zeros(size, np.int32)
+    place[use] = np.arange(len(use))
+    col = place[col]
     train = ~apart
     weight = np.where(label == 1, 0.5 / max(1, (label[train] == 1).sum()), 0.5 / max(1, (label[train] == 0).sum())) * train
     w, b, g2, gb2 = np.zeros(len(use)), 0.0, np.full(len(use), 1e-12), 1e-12
