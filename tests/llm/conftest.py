@@ -1,3 +1,5 @@
+import random
+
 import pytest
 from pyspark.sql import types as T
 
@@ -12,8 +14,9 @@ BAD = "### $$$ %%% *** &&& ||| <<< >>> ### $$$ %%% *** &&& ||| <<< >>>"
 
 
 def sentence(k: int, n: int = 60) -> str:
-    base = GOOD.split()
-    return " ".join(base[(k * 7 + i * (1 + k % 5)) % len(base)] + ("" if i % 3 else "abcdefghij"[(k + i) % 10]) for i in range(n)) + "."
+    """Words in an order of their own for each ``k``, hardly repeating."""
+    rng, base = random.Random(k), GOOD.split()
+    return " ".join(rng.choice(base) + rng.choice(["", "", "s", "ed", "ing"]) for _ in range(n)) + "."
 
 
 @pytest.fixture(scope="session")
