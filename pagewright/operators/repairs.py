@@ -66,7 +66,7 @@ def repair_totals(applied: DataFrame, edits: DataFrame) -> DataFrame:
 
 def edit_guards(pages: DataFrame, edits: DataFrame) -> list[DataFrame]:
     """What forbids executing: wrong bytes, missing proposals, overlaps."""
-    at = edits.join(pages.select("page", "text"), "page", "left")
+    at = edits.select("page", "id", "start_byte", "end_byte", "observed", "proposed").join(pages.select("page", "text"), "page", "left")
     seen = T.byte_slice(F.col("text"), F.col("start_byte"), F.col("end_byte"))
     return [
         violations(at, "no page for approved finding", "id", F.col("text").isNull()),
