@@ -25,7 +25,7 @@ from .common import fold, slices, table, with_workers
 from .quality import labelled
 
 #: Labelled rows of each class that the fit reads at most; labels of fold 2 of 4 are never learnt.
-ROWS_PER_CLASS, FOLDS, HELD_OUT = 4000, 4, 2
+ROWS_PER_CLASS, FOLDS, HELD_OUT = 2500, 4, 2
 THRESHOLD = 0.3
 #: Subsequence length, decay per spanned letter, landmarks, units that train the machine at most.
 LENGTH, DECAY, LANDMARKS, TRAIN_UNITS = 3, 0.6, 192, 4000
