@@ -27,6 +27,8 @@ ISLAND = r"(?:[,;:!?][A-Za-z][A-Za-z0-9]*|\.[A-Z][A-Za-z0-9]*)+"
 CLUSTER, RUN = r"[\p{L}\p{M}\p{N}_]+", r"[\p{L}\p{M}]+"
 CONTEXT = 160
 
+#: Matches whose offsets are summed up in one array before the next is begun.
+BLOCK = 64
 SPAN = "array<struct<start:int,end:int,start_byte:int,end_byte:int,observed:string>>"
 
 
@@ -34,20 +36,32 @@ def spans(text: Column, pattern: str) -> Column:
     """Every match of ``pattern`` in order, with its offsets.
 
     The gaps and the matches of one pattern alternate, so their running lengths are
-    the offsets. Meant for patterns that match some hundreds of times in a text: the
-    result grows by one entry a step. Words come from ``letter_runs``.
+    the offsets. Null text gives null. Words come from ``letter_runs``, which hides markup too.
     """
-    hits = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    zipped = F.arrays_zip(F.slice(F.split(text, pattern), 1, F.size(hits)).alias("gap"), hits.alias("hit"))
-    start = F.struct(F.lit(0).alias("c"), F.lit(0).alias("b"), F.array().cast(SPAN).alias("out"))
-
     def step(a: Column, x: Column) -> Column:
         c, b = a["c"] + F.length(x["gap"]), a["b"] + F.octet_length(x["gap"])
         ce, be = c + F.length(x["hit"]), b + F.octet_length(x["hit"])
         span = F.struct(c.alias("start"), ce.alias("end"), b.alias("start_byte"), be.alias("end_byte"), x["hit"].alias("observed"))
         return F.struct(ce.alias("c"), be.alias("b"), F.concat(a["out"], F.array(span)).alias("out"))
 
-    return F.aggregate(zipped, start, step, lambda a: a["out"])
+    def found(z: Column) -> Column:
+        hits = z["hits"]
+
+        def block(parts: Column, k: Column) -> Column:
+            last = F.element_at(parts, -1)
+            start = F.struct(last["c"].alias("c"), last["b"].alias("b"), F.array().cast(SPAN).alias("out"))
+            zipped = F.arrays_zip(F.slice(z["gaps"], k * BLOCK + 1, F.lit(BLOCK)).alias("gap"), F.slice(hits, k * BLOCK + 1, F.lit(BLOCK)).alias("hit"))
+            whole = F.filter(zipped, lambda x: x["hit"].isNotNull())  # the gap behind the last match
+            return F.concat(parts, F.array(F.aggregate(whole, start, step)))
+
+        # blocks, so that appending one span never copies all the spans before it
+        blocks = F.sequence(F.lit(0), F.greatest(F.lit(0), F.floor((F.size(hits) - 1) / BLOCK).cast("int")))
+        none = F.array(F.struct(F.lit(0).alias("c"), F.lit(0).alias("b"), F.array().cast(SPAN).alias("out")))
+        return F.flatten(F.transform(F.aggregate(blocks, none, block), lambda p: p["out"]))
+
+    # a one-entry array, so that the pattern runs once however often its matches are looked at
+    once = F.struct(F.split(text, pattern).alias("gaps"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("hits"))
+    return F.element_at(F.transform(F.array(once), found), 1)
 
 
 def words(text: Column) -> Column:
