@@ -26,14 +26,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import slices, table, with_workers, written
+from .common import first_by_hash, slices, table, with_workers, written
 from .components import Forest, components
 
 RADIUS = 3
 SHINGLE = 3
 SEED = 42
-#: Distinct fingerprints that a shard aims at, and the most that the driver samples for routing.
-SHARD_ROWS, SAMPLE_ROWS = 4096, 65536
+#: Distinct fingerprints that a shard aims at, and the least and the most that the driver samples for routing.
+#: A tree gets a level for each doubling of shards up to 2^14; its sample (8 MB at most) gets 64 rows a shard.
+SHARD_ROWS, LEAST_SAMPLE, MOST_SAMPLE = 4096, 1 << 16, 1 << 20
 #: A leaf of at most so many is compared directly.
 LEAF = 384
 
@@ -190,10 +191,10 @@ def links(spark: SparkSession, distinct: DataFrame) -> DataFrame:
     """``(a, b)``: links between different fingerprints that connect all that are within three bits."""
     n = distinct.count()
     shards = max(1, -(-n // SHARD_ROWS))
-    depth = max(0, min((shards - 1).bit_length(), (SAMPLE_ROWS // 64 - 1).bit_length()))
+    depth = max(0, min((shards - 1).bit_length(), (MOST_SAMPLE // 64 - 1).bit_length()))
     sample = np.zeros(0, np.uint64)
     if depth:
-        got = distinct.select("fp").orderBy(F.xxhash64("fp")).limit(SAMPLE_ROWS).toArrow()
+        got = first_by_hash(distinct.select("fp"), "fp", n, max(LEAST_SAMPLE, 64 << depth)).toArrow()
         sample = got.column("fp").to_numpy().view(np.uint64)
     trees = [routing_tree(sample, side, depth) if depth else [] for side in (0, 1)]
 

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table, with_workers, written
+from .common import first_by_hash, table, with_workers, written
 from .components import Forest, components
 
 COSINE = 0.95
@@ -194,7 +194,7 @@ def near_vectors(spark: SparkSession, rows: DataFrame, vec_id: str = "vec_id", e
     depth = max(0, min(math.ceil(math.log2(max(1, n) / ROUTED_ROWS)), (SAMPLE_ROWS // 64).bit_length() - 1)) if n else 0
     sample = np.zeros((0, 1))
     if depth:
-        got = classes.select("v").orderBy(F.xxhash64("class")).limit(SAMPLE_ROWS).toArrow().column("v").combine_chunks()
+        got = first_by_hash(classes.select("class", "v"), "class", n, SAMPLE_ROWS).select("v").toArrow().column("v").combine_chunks()
         sample, good = unit_rows(got)
         sample = sample[good]
     forest = spark.sparkContext.broadcast([routing_tree(sample, depth, t) if depth else [] for t in range(TREES)])

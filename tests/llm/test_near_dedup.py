@@ -8,7 +8,7 @@ import pytest
 import xxhash
 from pyspark.sql import types as T
 
-from pagewright.llm import components, simhash, vectors
+from pagewright.llm import common, components, simhash, vectors
 from tests.llm.conftest import sentence
 
 
@@ -56,6 +56,14 @@ def test_forest_finds_every_link(spark, monkeypatch, dense):
     assert len(set(zip(want, got))) == len(set(want)) == len(set(got))
 
 
+def test_routing_sample_is_that_of_a_full_sort(spark):
+    df = spark.range(5000).withColumnRenamed("id", "k")
+    ranked = [r["k"] for r in df.selectExpr("k", "xxhash64(k) AS h").orderBy("h").collect()]
+    for most in (1, 40, 1000, 6000):
+        assert [r["k"] for r in common.first_by_hash(df, "k", 5000, most).collect()] == ranked[:most]
+    assert common.first_by_hash(df.filter("k < 0"), "k", 0, 10).count() == 0
+
+
 def test_near_groups(spark, documents, odd_texts):
     texts = odd_texts + [sentence(1).upper(), sentence(3)]
     got = {r["doc_id"]: r for r in simhash.near_groups(spark, documents(texts)).collect()}
