@@ -14,6 +14,8 @@ from ..functions import text as T
 
 #: A side of a join is broadcast up to so many distinct words; beyond that the join shuffles.
 BROADCAST_WORDS = 200_000
+#: Signs of the longest word that is split, and of its longest piece. Fixed values.
+LONGEST_WORD, LONGEST_PIECE = 96, 32
 
 
 def tokens(pages: DataFrame, plain: bool = False) -> DataFrame:
@@ -108,22 +110,37 @@ def prepare_names(rows: DataFrame) -> DataFrame:
     return picked.groupBy("key").agg(F.min_by("name", "ordinal").alias("name")).select("name", "key")
 
 
-def segment_hints(spark: SparkSession, forms: DataFrame, counts: DataFrame, most: int = 3) -> DataFrame:
+def segment_hints(spark: SparkSession, forms: DataFrame, counts: DataFrame, most: int = 3, limit: int = BROADCAST_WORDS) -> DataFrame:
     """``(observed, rank, proposed, relative_score)``: best splits of a word into known words.
 
-    ``counts(key, n)`` is the dictionary, broadcast behind a check of its size.
+    ``counts(key, n)`` is the dictionary. Up to ``limit`` words it is broadcast; a larger
+    one is joined with the pieces of each distinct word, of which there are at most some
+    three thousand (words of up to 96 signs, pieces of up to 32). Both give the same hints.
     """
-    size = counts.count()
-    if size > BROADCAST_WORDS:
-        counts = counts.orderBy(F.desc("n"), "key").limit(BROADCAST_WORDS)
-    known = spark.sparkContext.broadcast({r["key"]: r["n"] for r in counts.collect()})  # bounded above
+    kind = "array<struct<proposed:string,relative_score:double>>"
+
+    def listed(word: str, known: dict[str, int]) -> list[tuple[str, float]]:
+        return [(" ".join(p), round(s, 4)) for s, p in segmentations(word, known, most)]
+
+    if counts.limit(limit + 1).count() <= limit:
+        known = spark.sparkContext.broadcast({r["key"]: r["n"] for r in counts.collect()})  # bounded above
+        split = F.udf(lambda word: listed(word, known.value), kind)
+        found = forms.select("observed", F.posexplode(split("observed")).alias("rank", "hint"))
+    else:
+        words = forms.select("observed").distinct().filter(F.length("observed").between(1, LONGEST_WORD))
+        pieces = F.udf(pieces_of, "array<string>")
+        near = words.select("observed", F.explode(pieces("observed")).alias("key")).join(counts, "key")
+        near = near.groupBy("observed").agg(F.map_from_entries(F.collect_list(F.struct("key", "n"))).alias("known"))
+        split = F.udf(listed, kind)
+        hints = near.select("observed", F.posexplode(split("observed", "known")).alias("rank", "hint"))
+        found = forms.select("observed").join(hints, "observed")
+    return found.select("observed", F.col("rank").cast("int"), "hint.proposed", "hint.relative_score")
 
-    @F.udf("array<struct<proposed:string,relative_score:double>>")
-    def split(word: str) -> list[tuple[str, float]]:
-        return [(" ".join(p), round(s, 4)) for s, p in segmentations(word, known.value, most)]
 
-    found = forms.select("observed", F.posexplode(split("observed")).alias("rank", "hint"))
-    return found.select("observed", F.col("rank").cast("int"), "hint.proposed", "hint.relative_score")
+def pieces_of(word: str) -> list[str]:
+    """The distinct keys of a word's pieces, the whole word's key among them."""
+    n = len(word)
+    return sorted({T.canonical_of(word[i:j]) for i in range(n) for j in range(i + 1, min(n, i + LONGEST_PIECE) + 1)} | {T.canonical_of(word)})
 
 
 def segmentations(word: str, known: dict[str, int], most: int = 3) -> list[tuple[float, tuple[str, ...]]]:
@@ -133,7 +150,7 @@ def segmentations(word: str, known: dict[str, int], most: int = 3) -> list[tuple
     single letters count only as a or i. Words over 96 signs and known words have none.
     """
     key = lambda s: T.canonical_of(s)
-    if not word or len(word) > 96 or key(word) in known:
+    if not word or len(word) > LONGEST_WORD or key(word) in known:
         return []
 
     @lru_cache(None)
@@ -141,7 +158,7 @@ def segmentations(word: str, known: dict[str, int], most: int = 3) -> list[tuple
         if at == len(word):
             return [(0.0, ())]
         found = []
-        for stop in range(at + 1, min(len(word), at + 32) + 1):
+        for stop in range(at + 1, min(len(word), at + LONGEST_PIECE) + 1):
             piece = word[at:stop]
             k = key(piece)
             if k in known and (len(piece) > 1 or k in ("a", "i")):

@@ -104,6 +104,15 @@ def test_segments():
     assert ("a", "priori") in [s[1] for s in vocabulary.segmentations("apriori", known)]
 
 
+def test_segment_hints_of_a_large_dictionary(spark):
+    """Joining the dictionary gives what broadcasting it gives, repeated, empty and null words included."""
+    counts = spark.createDataFrame([("of", 9), ("the", 20), ("priori", 2), ("a", 1), ("straße", 4), ("strasse", 5), ("x" * 40, 3)], "key string, n long")
+    forms = spark.createDataFrame([(w,) for w in ["ofthe", "ofthe", "OfThe", "apriori", "the", "", None, "a" * 97, "aofa", "thestrasse", "x" * 40, "zz"]], "observed string")
+    small, large = (sorted(map(tuple, vocabulary.segment_hints(spark, forms, counts, limit=n).collect())) for n in (10, 0))
+    assert small == large and len([r for r in small if r[0] == "ofthe"]) == 2 and any(r[0] == "apriori" for r in small)
+    assert vocabulary.segment_hints(spark, forms.limit(0), counts, limit=0).count() == 0
+
+
 def test_edit_operations(spark):
     pairs = spark.createDataFrame([("mistkae", "mistake", 2), ("ab", "ab", 1)], "observed string, replacement string, n long")
     want = {}
