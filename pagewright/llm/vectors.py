@@ -3,10 +3,12 @@
 Each tree splits by a random direction at the median; vectors close to the
 boundary go to both sides. The tops of the trees are built on the driver from a
 bounded sample and broadcast; they route every distinct vector to its leaves. Each
-leaf's task goes on splitting until leaves are small, compares within those in
-double precision, and adds up links. A pair may meet in many leaves; it counts
-only in the first one that both share, so link counts need no pair table. Leaves
-report a spanning forest of their links, which is united into components.
+leaf's task goes on splitting until parts are small and reports the parts of every
+vector. With the parts of all trees at hand, leaves are compared part by part in
+double precision and add up links. A pair may meet in many parts; it counts only in
+the first one that both share, which is where it was first compared, so link counts
+need no pair table. Leaves report a spanning forest of their links, which is united
+into components.
 
 Exact copies are grouped first and compared once.
 """
@@ -30,6 +32,8 @@ TREES, SPILL, LEAF = 8, 0.02, 256
 #: Distinct vectors that a routed leaf aims at, and the most that the driver samples for routing.
 ROUTED_ROWS, SAMPLE_ROWS = 2048, 32768
 BLOCK = 512
+#: Leaves of a tree have numbers below ``STEP``, parts of a leaf too. A part's place is its leaf times ``STEP`` plus its number.
+STEP = 1 << 20
 
 
 def unit_rows(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -135,24 +139,37 @@ def _padded(lists: list[np.ndarray]) -> np.ndarray:
 def _met_before(places: np.ndarray, i: np.ndarray, j: np.ndarray, limit: int) -> np.ndarray:
     """Whether rows i and j share a place below ``limit``."""
     out = np.zeros(len(i), bool)
+    left = np.arange(len(i))
     for a in range(places.shape[1]):
-        p = places[i, a]
+        p = places[i[left], a]
         live = (p >= 0) & (p < limit)
-        if live.any():
-            out[live] |= (places[j[live]] == p[live, None]).any(axis=1)
+        left, p = left[live], p[live]  # places rise, so a row without one here has none further on
+        if not len(left):
+            break
+        met = (places[j[left]] == p[:, None]).any(axis=1)
+        out[left[met]] = True
+        left = left[~met]
     return out
 
 
-def leaf_links(x: np.ndarray, size: np.ndarray, places: np.ndarray, here: int) -> tuple[np.ndarray, list[tuple[int, int]]]:
-    """Links of each row first met in this routed leaf (copies counted), and a spanning forest of all links found."""
+def part_places(x: np.ndarray, here: int) -> tuple[np.ndarray, np.ndarray]:
+    """Rows and places of the parts of routed leaf ``here``."""
     parts = _parts(x, here)
-    own: list[list[int]] = [[] for _ in range(len(x))]
-    for k, who in enumerate(parts):
-        for i in who.tolist():
-            own[i].append(k)
-    inner = _padded([np.array(v, np.int64) for v in own])
+    return np.concatenate(parts), np.repeat(here * STEP + np.arange(len(parts)), [len(who) for who in parts])
+
+
+def leaf_links(x: np.ndarray, size: np.ndarray, places: np.ndarray, here: int) -> tuple[np.ndarray, list[tuple[int, int]]]:
+    """Links of each row first compared in this routed leaf (copies counted), and a spanning forest of all links found.
+
+    ``places`` holds each row's places in all trees up to this leaf, rising, padded by -1.
+    """
+    row, at = np.nonzero(places // STEP == here)
+    part = places[row, at]
+    order = np.argsort(part, kind="stable")
+    row, part = row[order], part[order]
+    first = np.flatnonzero(np.diff(part, prepend=-1))
     count, forest, tree = np.zeros(len(x), np.int64), Forest(len(x)), []
-    for k, who in enumerate(parts):
+    for place, who in zip(part[first].tolist(), np.split(row, first[1:]), strict=True):
         for lo in range(0, len(who), BLOCK):
             a = who[lo : lo + BLOCK]
             for lo2 in range(lo, len(who), BLOCK):
@@ -163,10 +180,8 @@ def leaf_links(x: np.ndarray, size: np.ndarray, places: np.ndarray, here: int) -
                 i, j = a[i], b[j]
                 if not len(i):
                     continue
-                new = ~_met_before(inner, i, j, k)
-                i, j = i[new], j[new]
                 tree += forest.link_all(i, j)
-                new = ~_met_before(places, i, j, here)
+                new = ~_met_before(places, i, j, place)
                 np.add.at(count, i[new], size[j[new]])
                 np.add.at(count, j[new], size[i[new]])
     return count, tree
@@ -182,10 +197,12 @@ def near_vectors(spark: SparkSession, rows: DataFrame, vec_id: str = "vec_id", e
     Other columns are ignored; an empty table gives an empty result.
     """
     with_workers(spark)
-    base = rows.select(F.col(vec_id).cast("long").alias("vec_id"), F.col(embedding).cast("array<double>").alias("v"))
+    # float vectors stay so while they travel
+    vector = "array<float>" if rows.select(embedding).schema[0].dataType.simpleString() == "array<float>" else "array<double>"
+    base = rows.select(F.col(vec_id).cast("long").alias("vec_id"), F.col(embedding).cast(vector).alias("v"))
     usable = F.col("v").isNotNull() & (F.size("v") > 0) & ~F.exists("v", lambda e: e.isNull() | F.isnan(e) | (F.abs(e) == float("inf"))) & F.exists("v", lambda e: e != 0)
     # +0 and -0 are one value; a class is a distinct vector, named by 64 bits of its SHA-256
-    text = F.concat_ws(",", F.transform("v", lambda e: F.when(e == 0, F.lit(0.0)).otherwise(e).cast("string")))
+    text = F.concat_ws(",", F.transform(F.col("v").cast("array<double>"), lambda e: F.when(e == 0, F.lit(0.0)).otherwise(e).cast("string")))
     class_of = F.when(F.coalesce(usable, F.lit(False)), F.conv(F.substring(F.sha2(text, 256), 1, 15), 16, 10).cast("long"))
     base = written(spark, base.select("vec_id", class_of.alias("class"), "v"), "vectors")
     classes = base.filter("class IS NOT NULL").groupBy("class").agg(F.count("*").alias("size"), F.min("vec_id").alias("first_id"), F.first("v").alias("v"))
@@ -198,21 +215,22 @@ def near_vectors(spark: SparkSession, rows: DataFrame, vec_id: str = "vec_id", e
         sample, good = unit_rows(got)
         sample = sample[good]
     forest = spark.sparkContext.broadcast([routing_tree(sample, depth, t) if depth else [] for t in range(TREES)])
-    step = 1 << 20  # leaves of a tree have numbers below this
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x, good = unit_rows(batch.column("v"))
             found = [route(nodes, x) for nodes in forest.value]
             row = np.concatenate([r for r, _ in found])
-            leaf = np.concatenate([leaf + t * step for t, (_, leaf) in enumerate(found)])
+            leaf = np.concatenate([leaf + t * STEP for t, (_, leaf) in enumerate(found)])
             row, leaf = row[good[row]], leaf[good[row]]
-            order = np.lexsort((leaf, row))
-            row, leaf = row[order], leaf[order]
-            bounds = np.searchsorted(row, np.arange(len(x) + 1))
-            lists = pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(leaf)).take(pa.array(row))
             at = pa.array(row)
-            yield pa.RecordBatch.from_arrays([pa.array(leaf), lists, batch.column("class").take(at), batch.column("size").take(at), batch.column("v").take(at)], ["leaf", "places", "class", "size", "v"])
+            yield pa.RecordBatch.from_arrays([pa.array(leaf), batch.column("class").take(at), batch.column("v").take(at)], ["leaf", "class", "v"])
+
+    def split(group: pa.Table) -> pa.Table:
+        group = group.combine_chunks()
+        x, _ = unit_rows(group.column("v").combine_chunks())
+        row, place = part_places(x, group.column("leaf")[0].as_py())
+        return pa.table({"class": group.column("class").take(pa.array(row)), "place": place})
 
     def compare(group: pa.Table) -> pa.Table:
         group = group.combine_chunks()
@@ -230,8 +248,15 @@ def near_vectors(spark: SparkSession, rows: DataFrame, vec_id: str = "vec_id", e
             pa.table({"a": name[a], "b": name[b], "n": none}),
         ])
 
-    dealt = classes.select("class", "size", "v").mapInArrow(deal, "leaf long, places array<long>, class long, size long, v array<double>")
-    found = written(spark, dealt.groupBy("leaf").applyInArrow(compare, "a long, b long, n long"), "links")
+    dealt = classes.select("class", "v").mapInArrow(deal, f"leaf long, class long, v {vector}")
+    # written, so that all leaves see the same parts even if a task runs twice
+    placed = written(spark, dealt.groupBy("leaf").applyInArrow(split, "class long, place long"), "places")
+    placed = placed.groupBy("class").agg(F.sort_array(F.collect_list("place")).alias("places"))  # some tens a class
+    leaf_of = lambda p: F.shiftright(p, STEP.bit_length() - 1)
+    rows = classes.select("class", "size", "v").join(placed, "class")
+    rows = rows.select("class", "size", "v", "places", F.explode(F.array_distinct(F.transform("places", leaf_of))).alias("leaf"))
+    rows = rows.withColumn("places", F.filter("places", lambda p: leaf_of(p) <= F.col("leaf")))
+    found = written(spark, rows.groupBy("leaf").applyInArrow(compare, "a long, b long, n long"), "links")
     counts = found.filter("n IS NOT NULL").groupBy(F.col("a").alias("class")).agg(F.sum("n").alias("others"))
     roots = components(spark, found.filter("b IS NOT NULL").select("a", "b")).withColumnRenamed("node", "class")
     named = classes.select("class", "size", "first_id").join(counts, "class", "left").join(roots, "class", "left")

@@ -122,3 +122,20 @@ def test_vectors(spark, monkeypatch):
     for i in range(600, 620):  # exact copies
         assert got[i]["component_id"] == got[i - 600]["component_id"] and got[i]["n_links"] == got[i - 600]["n_links"]
     assert vectors.near_vectors(spark, spark.createDataFrame([], VECTORS)).count() == 0
+
+
+def test_vectors_count_every_link_they_find(spark):
+    """Isolated pairs: a pair that shares a component has a link each, in whichever tree it was found."""
+    rng = np.random.default_rng(5)
+    base = rng.standard_normal((1000, 64))
+    base /= np.linalg.norm(base, axis=1)[:, None]
+    side = rng.standard_normal((1000, 64))
+    side -= (side * base).sum(axis=1)[:, None] * base
+    side /= np.linalg.norm(side, axis=1)[:, None]
+    cosine = rng.uniform(0.952, 0.99, 1000)[:, None]
+    rows = [(i, v.tolist(), "n", "c") for i, v in enumerate(np.concatenate([base, cosine * base + np.sqrt(1 - cosine**2) * side]).astype(np.float32))]
+    got = {r["vec_id"]: r for r in vectors.near_vectors(spark, spark.createDataFrame(rows, VECTORS)).collect()}
+    found = sum(got[i + 1000]["component_id"] == i for i in range(1000))
+    counted = sum(got[i]["n_links"] for i in range(2000)) / 2
+    print("pairs found", found, "counted", counted)
+    assert counted == found >= 990
