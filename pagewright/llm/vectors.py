@@ -20,6 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -31,27 +32,25 @@ COSINE = 0.95
 TREES, SPILL, LEAF = 8, 0.02, 256
 #: Distinct vectors that a routed leaf aims at, and the most that the driver samples for routing.
 ROUTED_ROWS, SAMPLE_ROWS = 2048, 32768
+#: Lengths of vectors that get routing tops at most, the commonest ones; all vectors of another length share one leaf a tree.
+ROUTED_DIMS = 64
 BLOCK = 512
 #: Leaves of a tree have numbers below ``STEP``, parts of a leaf too. A part's place is its leaf times ``STEP`` plus its number.
 STEP = 1 << 20
 
 
 def unit_rows(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Vectors of length one in double precision, and which rows have one.
+    """Vectors of length one in double precision, and which rows have one; all rows have one dimension.
 
-    Null, empty and zero vectors and those with null or non-finite components have
-    none; so do vectors whose dimension differs from the batch's first good one.
+    Zero vectors and those with null or non-finite components have none.
     """
+    if isinstance(column, pa.ChunkedArray):
+        column = column.combine_chunks()
     n = len(column)
-    cells = column.to_pylist()
-    dim = next((len(c) for c in cells if c), 0)
-    good = np.array([c is not None and len(c) == dim and dim > 0 and None not in c for c in cells], bool)
-    x = np.zeros((n, max(dim, 1)))
-    if good.any():
-        x[good] = np.array([c for c, ok in zip(cells, good.tolist(), strict=True) if ok], np.float64)
-    good &= np.isfinite(x).all(axis=1)
+    x = column.flatten().cast(pa.float64()).to_numpy(zero_copy_only=False).reshape(n, -1).copy() if n else np.zeros((0, 1))
+    good = np.isfinite(x).all(axis=1)
     x[~good] = 0
-    scale = np.abs(x).max(axis=1)
+    scale = np.abs(x).max(axis=1, initial=0)
     x /= np.where(scale > 0, scale, 1)[:, None]  # so that squares neither vanish nor overflow
     norm = np.sqrt((x * x).sum(axis=1))
     good &= norm > 0
@@ -192,7 +191,8 @@ def near_vectors(spark: SparkSession, rows: DataFrame, vec_id: str = "vec_id", e
 
     Links join vectors with a cosine of at least 0.95; those found are true links,
     and a few true ones may be missed (see the tests for recall). Vectors that are
-    null, empty, zero or hold null or non-finite components link with nothing.
+    null, empty, zero or hold null or non-finite components link with nothing; others
+    link with vectors of their own dimension.
     Repeated ids are vectors of their own; a null id forms no smaller component.
     Other columns are ignored; an empty table gives an empty result.
     """
@@ -206,25 +206,31 @@ def near_vectors(spark: SparkSession, rows: DataFrame, vec_id: str = "vec_id", e
     class_of = F.when(F.coalesce(usable, F.lit(False)), F.conv(F.substring(F.sha2(text, 256), 1, 15), 16, 10).cast("long"))
     base = written(spark, base.select("vec_id", class_of.alias("class"), "v"), "vectors")
     classes = base.filter("class IS NOT NULL").groupBy("class").agg(F.count("*").alias("size"), F.min("vec_id").alias("first_id"), F.first("v").alias("v"))
-    classes = written(spark, classes, "classes")
+    classes = written(spark, classes.withColumn("dim", F.size("v")), "classes")
     n = classes.count()
-    depth = max(0, min(math.ceil(math.log2(max(1, n) / ROUTED_ROWS)), (SAMPLE_ROWS // 64).bit_length() - 1)) if n else 0
-    sample = np.zeros((0, 1))
-    if depth:
-        got = first_by_hash(classes.select("class", "v"), "class", n, SAMPLE_ROWS).select("v").toArrow().column("v").combine_chunks()
-        sample, good = unit_rows(got)
-        sample = sample[good]
-    forest = spark.sparkContext.broadcast([routing_tree(sample, depth, t) if depth else [] for t in range(TREES)])
+    # vectors of one length are compared with each other; a length with few vectors needs no routing
+    dims = classes.groupBy("dim").count().filter(F.col("count") > ROUTED_ROWS).orderBy(F.desc("count"), "dim").limit(ROUTED_DIMS).collect()
+    tops = {}
+    if dims:
+        got = first_by_hash(classes.select("class", "dim", "v"), "class", n, SAMPLE_ROWS).select("dim", "v").toArrow()
+        for dim, many in dims:
+            sample, good = unit_rows(got.filter(pa.compute.equal(got.column("dim"), dim)).column("v"))
+            sample = sample[good]
+            depth = max(0, min(math.ceil(math.log2(many / ROUTED_ROWS)), (SAMPLE_ROWS // 64).bit_length() - 1))
+            tops[dim] = [routing_tree(sample, depth, t) for t in range(TREES)]
+    forest = spark.sparkContext.broadcast(tops)
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x, good = unit_rows(batch.column("v"))
-            found = [route(nodes, x) for nodes in forest.value]
-            row = np.concatenate([r for r, _ in found])
-            leaf = np.concatenate([leaf + t * STEP for t, (_, leaf) in enumerate(found)])
-            row, leaf = row[good[row]], leaf[good[row]]
-            at = pa.array(row)
-            yield pa.RecordBatch.from_arrays([pa.array(leaf), batch.column("class").take(at), batch.column("v").take(at)], ["leaf", "class", "v"])
+            for dim in pa.compute.unique(batch.column("dim")).to_pylist():
+                part = batch.filter(pa.compute.equal(batch.column("dim"), dim))
+                x, good = unit_rows(part.column("v"))
+                found = [route(nodes, x) for nodes in forest.value.get(dim, [[]] * TREES)]
+                row = np.concatenate([r for r, _ in found])
+                leaf = np.concatenate([leaf + t * STEP for t, (_, leaf) in enumerate(found)])
+                row, leaf = row[good[row]], leaf[good[row]]
+                at = pa.array(row)
+                yield pa.RecordBatch.from_arrays([part.column("dim").take(at), pa.array(leaf), part.column("class").take(at), part.column("v").take(at)], ["dim", "leaf", "class", "v"])
 
     def split(group: pa.Table) -> pa.Table:
         group = group.combine_chunks()
@@ -248,15 +254,15 @@ def near_vectors(spark: SparkSession, rows: DataFrame, vec_id: str = "vec_id", e
             pa.table({"a": name[a], "b": name[b], "n": none}),
         ])
 
-    dealt = classes.select("class", "v").mapInArrow(deal, f"leaf long, class long, v {vector}")
+    dealt = classes.select("dim", "class", "v").mapInArrow(deal, f"dim int, leaf long, class long, v {vector}")
     # written, so that all leaves see the same parts even if a task runs twice
-    placed = written(spark, dealt.groupBy("leaf").applyInArrow(split, "class long, place long"), "places")
+    placed = written(spark, dealt.groupBy("dim", "leaf").applyInArrow(split, "class long, place long"), "places")
     placed = placed.groupBy("class").agg(F.sort_array(F.collect_list("place")).alias("places"))  # some tens a class
     leaf_of = lambda p: F.shiftright(p, STEP.bit_length() - 1)
-    rows = classes.select("class", "size", "v").join(placed, "class")
-    rows = rows.select("class", "size", "v", "places", F.explode(F.array_distinct(F.transform("places", leaf_of))).alias("leaf"))
+    rows = classes.select("dim", "class", "size", "v").join(placed, "class")
+    rows = rows.select("dim", "class", "size", "v", "places", F.explode(F.array_distinct(F.transform("places", leaf_of))).alias("leaf"))
     rows = rows.withColumn("places", F.filter("places", lambda p: leaf_of(p) <= F.col("leaf")))
-    found = written(spark, rows.groupBy("leaf").applyInArrow(compare, "a long, b long, n long"), "links")
+    found = written(spark, rows.groupBy("dim", "leaf").applyInArrow(compare, "a long, b long, n long"), "links")
     counts = found.filter("n IS NOT NULL").groupBy(F.col("a").alias("class")).agg(F.sum("n").alias("others"))
     roots = components(spark, found.filter("b IS NOT NULL").select("a", "b")).withColumnRenamed("node", "class")
     named = classes.select("class", "size", "first_id").join(counts, "class", "left").join(roots, "class", "left")

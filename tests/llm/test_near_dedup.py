@@ -139,3 +139,17 @@ def test_vectors_count_every_link_they_find(spark):
     counted = sum(got[i]["n_links"] for i in range(2000)) / 2
     print("pairs found", found, "counted", counted)
     assert counted == found >= 990
+
+
+def test_vectors_of_mixed_lengths(spark, monkeypatch):
+    """Each vector is compared with all others of its length, whichever comes first in a batch."""
+    monkeypatch.setattr(vectors, "ROUTED_ROWS", 64)
+    rng = np.random.default_rng(2)
+    many = rng.standard_normal((150, 16))
+    few = rng.standard_normal((20, 5))
+    values = [[1.0] * 7, *(v for a in (many, few) for x in a for v in (x.tolist(), (x * 1.5 + 0.01).tolist())), [2.0] * 6 + [2.5]]
+    df = spark.createDataFrame([(i, v, "n", "c") for i, v in enumerate(values)], VECTORS).coalesce(1)
+    got = {r["vec_id"]: r for r in vectors.near_vectors(spark, df).collect()}
+    assert [got[i]["n_links"] for i in range(len(values))] == [1] * len(values)
+    last = len(values) - 1
+    assert got[last]["component_id"] == 0 and all(got[i]["component_id"] == (i - 1) // 2 * 2 + 1 for i in range(1, last))
