@@ -64,11 +64,11 @@ def spans(text: Column, pattern: str) -> Column:
     return F.element_at(F.transform(F.array(once), found), 1)
 
 
-def words(text: Column) -> Column:
-    """The letter runs of a text without their offsets, see ``letter_runs``; markup is not looked at."""
+def words(text: Column, least: int = 4) -> Column:
+    """The runs of ``least`` letters or more of a text without their offsets, see ``letter_runs``; markup is not looked at."""
     clusters = F.filter(F.regexp_extract_all(text, F.lit(CLUSTER), F.lit(0)), lambda c: ~c.contains("_"))
     runs = F.flatten(F.transform(clusters, lambda c: F.regexp_extract_all(c, F.lit(RUN), F.lit(0))))
-    return F.filter(runs, lambda r: F.length(F.regexp_replace(r, r"\p{M}", "")) >= 4)
+    return F.filter(runs, lambda r: F.length(F.regexp_replace(r, r"\p{M}", "")) >= least)
 
 
 def flatten_text(text: Column) -> Column:

@@ -37,9 +37,9 @@ def tokens(pages: DataFrame, plain: bool = False) -> DataFrame:
     return pages.select("page", "text").mapInArrow(run, f"page {kind}, ordinal int, start int, end int, start_byte int, end_byte int, observed string")
 
 
-def known_words(texts: DataFrame) -> DataFrame:
-    """``(key)``: distinct keys of the words in ``texts(text)``; the default word provider."""
-    return texts.select(F.explode(T.words(F.col("text"))).alias("observed")).distinct().select(T.canonical("observed").alias("key")).distinct()
+def known_words(texts: DataFrame, least: int = 4) -> DataFrame:
+    """``(key)``: distinct keys of the words of ``least`` letters or more in ``texts(text)``; the default word provider."""
+    return texts.select(F.explode(T.words(F.col("text"), least)).alias("observed")).distinct().select(T.canonical("observed").alias("key")).distinct()
 
 
 def keyed(found: DataFrame) -> DataFrame:
@@ -78,8 +78,11 @@ def inventory(unknown: DataFrame) -> DataFrame:
 
 
 def known_counts(texts: DataFrame, words: DataFrame) -> DataFrame:
-    """``(key, n)``: occurrences of known words of four letters or more in ``texts(text)``."""
-    found = texts.select(F.explode(T.words(F.col("text"))).alias("observed"))
+    """``(key, n)``: occurrences of known words of any length in ``texts(text)``, as visible runs of letters and marks.
+
+    Unlike tokens, runs have no least length, and those beside an underscore count.
+    """
+    found = texts.select(F.explode(F.regexp_extract_all(T.visible_text("text"), F.lit(T.RUN), F.lit(0))).alias("observed"))
     spelling = found.groupBy("observed").agg(F.count("*").alias("n")).withColumn("key", T.canonical("observed"))
     return spelling.join(sized(words), "key", "left_semi").groupBy("key").agg(F.sum("n").alias("n"))
 

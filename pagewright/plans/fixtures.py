@@ -39,8 +39,8 @@ def edits(findings: DataFrame) -> DataFrame:
     return findings.filter(F.col("proposed").isNotNull() & (F.col("start_byte") % 5 != 0))
 
 
-def words(spark: SparkSession, sf: str) -> DataFrame:
-    return vocabulary.known_words(table(spark, sf, "benchmark"))
+def words(spark: SparkSession, sf: str, least: int = 4) -> DataFrame:
+    return vocabulary.known_words(table(spark, sf, "benchmark"), least)
 
 
 def unknown(spark: SparkSession, sf: str, plain: bool = True) -> DataFrame:

@@ -273,7 +273,7 @@ def name_list_prepare(spark, sf):
 def segment_hints(spark, sf):
     """Splits of run-together words: neighbouring known words with their blank dropped."""
     docs = fx.table(spark, sf, "benchmark").select(F.col("item_id").alias("page"), "text")
-    counts = vocabulary.known_counts(docs, fx.words(spark, sf))
+    counts = vocabulary.known_counts(docs, fx.words(spark, sf, least=1))
     glued = docs.select(F.explode(F.regexp_extract_all("text", F.lit(r"[a-z]{4,} [a-z]{4,}"), F.lit(0))).alias("w")).select(F.regexp_replace("w", " ", "").alias("observed")).distinct()
     return vocabulary.segment_hints(spark, glued, counts)
 

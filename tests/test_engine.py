@@ -113,6 +113,17 @@ def test_segment_hints_of_a_large_dictionary(spark):
     assert vocabulary.segment_hints(spark, forms.limit(0), counts, limit=0).count() == 0
 
 
+def test_short_known_words_are_counted_and_split(spark):
+    """Known words of every length count where they are visible, also beside an underscore, and serve as pieces."""
+    words = vocabulary.known_words(spark.createDataFrame([("A man of the Élan a priori",)], "text string"), least=1)
+    texts = spark.createDataFrame([("Of the_man <a of='the'>the</a> `of` ÉLAN a2a unknown",), ("a priori man",), (None,)], "text string")
+    counts = vocabulary.known_counts(texts, words)
+    assert {r["key"]: r["n"] for r in counts.collect()} == {"of": 1, "the": 2, "man": 2, "élan": 1, "a": 3, "priori": 1}
+    forms = spark.createDataFrame([("ofthe",), ("apriori",), ("ofaman",)], "observed string")
+    best = {r["observed"]: r["proposed"] for r in vocabulary.segment_hints(spark, forms, counts).collect() if r["rank"] == 0}
+    assert best == {"ofthe": "of the", "apriori": "a priori", "ofaman": "of a man"}
+
+
 def test_edit_operations(spark):
     pairs = spark.createDataFrame([("mistkae", "mistake", 2), ("ab", "ab", 1)], "observed string, replacement string, n long")
     want = {}
