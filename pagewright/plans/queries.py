@@ -271,11 +271,12 @@ def name_list_prepare(spark, sf):
 
 @query()
 def segment_hints(spark, sf):
-    """Splits of run-together words: neighbouring known words with their blank dropped."""
-    docs = fx.table(spark, sf, "benchmark").select(F.col("item_id").alias("page"), "text")
-    counts = vocabulary.known_counts(docs, fx.words(spark, sf, least=1))
-    glued = docs.select(F.explode(F.regexp_extract_all("text", F.lit(r"[a-z]{4,} [a-z]{4,}"), F.lit(0))).alias("w")).select(F.regexp_replace("w", " ", "").alias("observed")).distinct()
-    return vocabulary.segment_hints(spark, glued, counts)
+    """Splits of every unknown form of the documents, some words of which run together."""
+    docs, words = fx.glued(spark, sf), fx.words(spark, sf, least=1)
+    forms = vocabulary.unrecognized_tokens(vocabulary.tokens(docs), words).select("observed").distinct()
+    # known words that the documents lack are pieces too
+    counts = words.join(vocabulary.known_counts(docs, words), "key", "left").select("key", F.coalesce("n", F.lit(0)).alias("n"))
+    return vocabulary.segment_hints(spark, forms, counts)
 
 
 # ---- review ------------------------------------------------------------------------

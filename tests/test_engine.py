@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from pagewright.functions import text as T
 from pagewright.operators import corpus, guards, repairs, review, spans, vocabulary
-from pagewright.plans import workflow
+from pagewright.plans import queries, workflow
 from pagewright.sources import directories as d
 
 PAGE = "élan,word.Next U.S.A today,zqxwvv.\r\n"
@@ -124,6 +124,22 @@ def test_short_known_words_are_counted_and_split(spark):
     assert best == {"ofthe": "of the", "apriori": "a priori", "ofaman": "of a man"}
 
 
+def test_segment_hints_query_splits_the_documents(spark, tmp_path):
+    """Unknown forms of the documents with counts over the documents, against plain Python."""
+    texts = ["We went to The inn.OfThe café unaofthe <b>ofofof</b>", "Soit is of the cafétable zzzz of", None]
+    spark.createDataFrame([(i, "s", t) for i, t in enumerate(texts)], "doc_id long, source string, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(0, "we went to the inn of café una so it is a table un")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    pages = ["We went toThe inn.OfThe café unaofthe       ofofof    ", "Soit is of the cafétable zzzz of"]
+    words = set("we went to the inn of café una so it is a table un".split())
+    runs = [r for p in pages for r in re.findall(r"[^\W\d_]+", p)]
+    known = {w: sum(r.lower() == w for r in runs) for w in words}
+    unknown = {r for r in runs if len(r) >= 4 and r.lower() not in words}
+    want = {(w, k, " ".join(p), round(s, 4)) for w in unknown for k, (s, p) in enumerate(vocabulary.segmentations(w, known))}
+    got = queries.QUERIES["segment_hints"](spark, str(tmp_path)).collect()
+    assert {tuple(r) for r in got} == want and len(got) == len(want)
+    assert {("OfThe", 0, "Of The"), ("toThe", 0, "to The"), ("cafétable", 0, "café table")} <= {g[:3] for g in want} and {"unaofthe", "ofofof", "Soit"} <= {g[0] for g in want}
+
+
 def test_edit_operations(spark):
     pairs = spark.createDataFrame([("mistkae", "mistake", 2), ("ab", "ab", 1)], "observed string, replacement string, n long")
     want = {}
