@@ -1,11 +1,13 @@
 """Main text of web pages by tree scoring.
 
 A light tree is built from the tags; branches that never hold the article (menus,
-sidebars, forms, scripts, comments and the like, by tag, role or class words) are
-cut. Each paragraph earns points for its length and commas and passes them to its
+forms, scripts and the like, by tag or role) are cut. So are branches that their
+class or id marks (sidebars, comments, adverts), unless they hold most of the page's
+paragraph points: then they wrap the article. Each paragraph earns points for its length and commas and passes them to its
 ancestors, less with distance; containers are discounted by the share of their
 text that stands in links. The best container and its siblings that score alike
-are kept whole, block by block in page order.
+are kept whole, block by block in page order. Siblings with little text are kept too
+unless links make up much of it.
 """
 
 from __future__ import annotations
@@ -24,6 +26,8 @@ from .common import table, with_workers
 TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)", re.S)
 ATTRIBUTE = re.compile(r"([^\s=\"'/>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 WORD = re.compile(r"[a-z0-9]+")
+#: Class words that tell of a state of the page: no-sidebar, has-comments, with-ads, share-enabled. Fixed values.
+NEUTRAL = re.compile(r"(?<!\S)(?:(?:no|has|with|without)[-_]+\S+|\S+[-_]+(?:enabled|disabled))(?!\S)")
 
 #: Element names by what they mean for the text.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -42,13 +46,18 @@ DROPPED_WORDS = frozenset(
 )
 
 
+#: Words that name what may wrap an article, and words of threads, which are long and never do. Fixed values.
+WRAPPERS = frozenset("content main article post entry story page body layout wrap wrapper container column text site app root".split())
+THREADS = frozenset("comment comments disqus reply replies respond discussion".split())
+
+
 class Node:
     """An element. ``block`` is the nearest element at or above it that is not inline."""
 
-    __slots__ = ("tag", "parent", "block", "inside", "items", "dropped", "points", "n_text", "n_link", "commas")
+    __slots__ = ("tag", "parent", "block", "inside", "items", "dropped", "marked", "points", "n_text", "n_link", "commas")
 
-    def __init__(self, tag: str, parent: Node | None, dropped: bool):
-        self.tag, self.parent, self.dropped = tag, parent, dropped
+    def __init__(self, tag: str, parent: Node | None, dropped: bool, marked: int = 0):
+        self.tag, self.parent, self.dropped, self.marked = tag, parent, dropped, marked  # marked: 0 no, 1 unless it holds the most, 2 unless little is left
         self.block: Node = parent.block if parent and tag in INLINE else self
         self.inside: bool = tag in CONTAINERS or (parent is not None and parent.inside)
         self.items: list = []
@@ -65,10 +74,7 @@ def _unwanted(tag: str, attributes: str, inside: bool) -> bool:
     for m in ATTRIBUTE.finditer(attributes):
         name = m[1].lower()
         value = (m[2] or m[3] or m[4] or "").lower()
-        if name in ("class", "id"):
-            if not DROPPED_WORDS.isdisjoint(WORD.findall(value)):
-                return True
-        elif name == "role":
+        if name == "role":
             if value.strip() in DROPPED_ROLES:
                 return True
         elif name == "hidden" or (name == "aria-hidden" and value == "true"):
@@ -78,6 +84,22 @@ def _unwanted(tag: str, attributes: str, inside: bool) -> bool:
     return False
 
 
+def _marked(tag: str, attributes: str) -> int:
+    """Whether class or id say that a branch is not the article: 0 no, 2 yes, 1 if they also name a wrapper. A compound like ``no-sidebar`` says nothing."""
+    if not attributes or tag in ("html", "body", "article", "main"):
+        return 0
+    words: set[str] = set()
+    plain = True
+    for m in ATTRIBUTE.finditer(attributes):
+        if m[1].lower() in ("class", "id"):
+            value = (m[2] or m[3] or m[4] or "").lower()
+            plain = plain and DROPPED_WORDS.isdisjoint(WORD.findall(value))
+            words.update(WORD.findall(NEUTRAL.sub(" ", value)))
+    if plain or DROPPED_WORDS.isdisjoint(words):
+        return 0
+    return 2 if WRAPPERS.isdisjoint(words) or not THREADS.isdisjoint(words) else 1
+
+
 def parse(page: str) -> Node:
     """The page's tree; text is kept as strings between child nodes, references undecoded."""
     root = at = Node("#root", None, False)
@@ -115,7 +137,7 @@ def parse(page: str) -> Node:
                 up = up.parent
             while up.tag in closes and up.parent:
                 at = up = up.parent
-        node = Node(tag, at, at.dropped or _unwanted(tag, m[3], at.inside))
+        node = Node(tag, at, at.dropped or _unwanted(tag, m[3], at.inside), 0 if at.dropped else _marked(tag, m[3]))
         at.items.append(node)
         if tag in VOID or m[3].endswith("/") and tag not in RAW and tag not in ENDS_P and tag not in INLINE:
             continue
@@ -138,6 +160,7 @@ def _measure(root: Node) -> list[Node]:
         if node.dropped:
             continue
         order.append(node)
+        node.n_text = node.n_link = node.commas = 0
         todo += [x for x in reversed(node.items) if isinstance(x, Node)]
     for node in reversed(order):
         for x in node.items:
@@ -159,8 +182,60 @@ def _is_paragraph(node: Node) -> bool:
     return any((isinstance(x, str) and x.strip()) or (isinstance(x, Node) and x.tag in INLINE and x.n_text and not x.dropped) for x in node.items)
 
 
+def _set_dropped(node: Node, dropped: list[Node]) -> None:
+    """Drop a branch; the nodes that were not dropped yet are added to ``dropped``."""
+    todo = [node]
+    while todo:
+        x = todo.pop()
+        if not x.dropped:
+            x.dropped = True
+            dropped.append(x)
+            todo += [y for y in x.items if isinstance(y, Node)]
+
+
+def _cut_marked(root: Node) -> None:
+    """Drop the branches that class or id mark, smallest first, but none that wraps the article.
+
+    A branch that holds most of the page's paragraph points stays if its words also name
+    a wrapper, or if hardly any points would be left; all stay if no text would be left.
+    """
+    order = _measure(root)
+    marked = [n for n in order if n.marked]
+    if not marked:
+        return
+    below: dict[int, float] = {}
+    for node in reversed(order):
+        own = 0.0
+        if node.tag in SCORED and node.n_text:
+            near = [x for x in node.items if isinstance(x, str) or (x.tag in INLINE and not x.dropped)]
+            n = sum(len(x) - x.count(" ") if isinstance(x, str) else x.n_text for x in near if not isinstance(x, str) or x.strip())
+            if n:
+                own = (1 + sum(x.count(",") if isinstance(x, str) else x.commas for x in near) + min(n / 100, 3)) * (1 - node.n_link / node.n_text)
+        below[id(node)] = own + sum(below[id(x)] for x in node.items if isinstance(x, Node) and not x.dropped)
+    whole, dropped = root.n_text, []
+    for node in sorted(marked, key=lambda n: below[id(n)]):
+        if node.dropped:
+            continue
+        points, live = below[id(node)], below[id(root)]
+        rest = live - points
+        little = rest < 0.1 * live and (rest < 10 or rest < 0.02 * live)
+        if points > live / 2 and (node.marked == 1 or little):
+            continue
+        _set_dropped(node, dropped)
+        up = node
+        while up:
+            below[id(up)] -= points
+            up = up.parent
+    if whole and dropped:
+        _measure(root)
+        if not root.n_text:
+            for x in dropped:
+                x.dropped = False
+
+
 def best(root: Node) -> list[Node]:
     """The best container and the siblings kept with it, in page order; none if the page has no text."""
+    _cut_marked(root)
     order = _measure(root)
     scored = []
     for node in order:
@@ -199,8 +274,7 @@ def best(root: Node) -> list[Node]:
         links = x.n_link / max(1, x.n_text)
         if discounted.get(id(x), 0.0) >= floor and links < 0.5:
             return True
-        headline = x.tag in ("h1", "h2", "h3", "h4", "h5", "h6", "header", "blockquote", "pre", "ul", "ol", "dl", "table", "figure")
-        return top.tag not in CONTAINERS and x.n_text > 0 and links < 0.25 and (headline or x.tag == "p")
+        return top.tag not in CONTAINERS and x.n_text > 0 and links < 0.25
 
     return [x for x in peers if alike(x)]
 

@@ -19,6 +19,22 @@ def test_main_text(page, text):
     assert html.main_text(page) == text
 
 
+ARTICLE = "\n".join([P[3:-4]] * 4)
+SMALL = "<p>Post, nice.</p>"
+
+
+@pytest.mark.parametrize(("page", "text"), [
+    *((f"<nav>x</nav><div {mark}>{P * 4}</div><div class='sidebar'>{SMALL}</div>", ARTICLE) for mark in ("class='content no-sidebar'", "class='layout has-sidebar'", "id='page-search'", "class='post share-enabled'", "class='with-ads'", "class='social'")),
+    (f"<div class='layout sidebar-right'><div class='story'>{P * 4}</div><div class='sidebar'>{P * 2}</div></div>", ARTICLE),
+    (f"<div class='content no-sidebar'><div>{P * 4}</div><div class='post-comments'>{P * 9}</div></div>", ARTICLE),  # threads go, long as they are
+    (f"<div>{P * 4}</div><div id='comments'>{P * 60}</div>", ARTICLE),
+    ("<div class='popup'>only this</div>", "only this"), ("<span class='ad'>or <b>this</b></span>", "or this"),
+    (f"<div id='all'><div>{P * 4}</div><div>The end.</div><section>Or so.</section><div><a href='/'>More</a> of it</div></div>", f"{ARTICLE}\nThe end.\nOr so."),
+])
+def test_main_text_keeps_what_the_class_rule_would_lose(page, text):
+    assert html.main_text(page) == text
+
+
 def test_deep_and_long_pages():
     assert html.main_text("<div>" * 3000 + "x" + "</div>" * 3000) == "x"
     assert len(html.main_text("<article>" + P * 5000 + "</article>").split("\n")) == 5000
