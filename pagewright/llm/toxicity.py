@@ -5,6 +5,8 @@ a decay for every letter it spans, so ``idiot``, ``id.iot`` and ``idi0ot`` still
 share most of them. A text is seen as its units: lower-cased words, with runs of
 single signs (``i d i o t``) joined to one unit. Units of labelled sentences train
 the machine; a text's score comes from its strongest units, calibrated on texts.
+Neighbouring words are scored joined, too (``id iot``, ``st u pid``), as far as they
+are no longer together than the longest toxic unit.
 
 Each distinct unit is scored once and remembered by hash, so the kernel's cost
 follows the vocabulary, not the length of the texts.
@@ -33,6 +35,8 @@ LENGTH, DECAY, LANDMARKS, TRAIN_UNITS = 3, 0.6, 192, 4000
 LEAST_PLACES, ROUNDS = 4, 3
 #: The kernel reads units in windows of so many signs, half of each shared with the next; longer units have more windows.
 SIGNS = 16
+#: Neighbouring words that are joined at most.
+JOINED = 4
 #: Units remembered in a worker before its memory starts afresh.
 REMEMBERED = 1 << 20
 
@@ -117,9 +121,26 @@ def units_of(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return low, start[first][keep], stop[keep], row[first][keep]
 
 
+def windows_of(low: np.ndarray, start: np.ndarray, end: np.ndarray, row: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """First and last word of each run of two to ``JOINED`` words of a row with ``LENGTH`` to ``most`` bytes of letters and digits in all."""
+    letters = np.concatenate([[0], np.cumsum(~_SIGN[low])])
+    first, last = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for k in range(1, JOINED):
+        n = len(start) - k
+        if n > 0:
+            size = letters[end[k:]] - letters[start[:n]]
+            at = np.flatnonzero((row[k:] == row[:n]) & (size >= LENGTH) & (size <= most))
+            first.append(at)
+            last.append(at + k)
+    return np.concatenate(first), np.concatenate(last)
+
+
 _SIGNS = bytes(b for b in range(128) if not chr(b).isalnum())
 
 
+_SIGN = np.isin(np.arange(256), list(_SIGNS))
+
+
 def _plain(u: bytes) -> bytes:
     """A unit's letters and digits."""
     return u.translate(None, _SIGNS)
@@ -165,8 +186,9 @@ class Landmarks:
 class Model:
     """Landmarks, the machine over their kernel map, and the calibration from units to texts."""
 
-    def __init__(self, landmarks: Landmarks, project: np.ndarray, weights: np.ndarray, bias: float, text: np.ndarray):
+    def __init__(self, landmarks: Landmarks, project: np.ndarray, weights: np.ndarray, bias: float, text: np.ndarray, most: int = 0):
         self.landmarks, self.project, self.bias, self.text = landmarks, project, bias, text
+        self.most = most  # bytes of words that are joined
         self.set(weights, bias)
 
     def set(self, weights: np.ndarray, bias: float) -> None:
@@ -174,6 +196,38 @@ class Model:
         self.bias = bias
         self.fold = (self.landmarks.table @ (self.project @ weights)).astype(np.float32)
         self.known, self.value = np.zeros(0, np.uint64), np.zeros(0, np.float32)
+        keys = self.landmarks.keys
+        letters = np.stack([(keys >> np.uint64(8 * q)) & np.uint64(255) for q in range(LENGTH)]).astype(np.int64)
+        used = np.unique(letters)
+        self.code = np.zeros(256, np.int64)  # 0: a byte that no landmark holds
+        self.code[used] = np.arange(1, len(used) + 1)
+        self.base = len(used) + 1
+        self.dense = np.zeros(self.base**LENGTH, np.float32)
+        a, b, c = self.code[letters]
+        self.dense[(a * self.base + b) * self.base + c] = self.fold
+
+    def ceilings(self, plain: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """A bound that no unit's margin exceeds, for units of ``LENGTH`` to ``SIGNS`` plain bytes.
+
+        The machine's sum needs no sorting; only the norm does, and it is least where no
+        subsequence repeats.
+        """
+        out = np.full(len(start), self.bias, np.float32)
+        code = self.code[plain]
+        for n in np.unique(size).tolist():
+            at, decay = _choices(n)
+            who = np.flatnonzero(size == n)
+            for lo in range(0, len(who), 1 << 15):
+                part = who[lo : lo + (1 << 15)]
+                rows = [code[start[part] + q] for q in range(n)]
+                total = np.zeros(len(part), np.float32)
+                pair, before = None, (-1, -1)
+                for (i, j, k), w in zip(at.tolist(), decay.tolist(), strict=True):
+                    if (i, j) != before:
+                        pair, before = (rows[i] * self.base + rows[j]) * self.base, (i, j)
+                    total += np.float32(w) * self.dense[pair + rows[k]]
+                out[part] += np.maximum(total, 0) / np.float32(np.sqrt((decay.astype(np.float64) ** 2).sum()))
+        return out + np.float32(1e-3)  # for rounding
 
     def __getstate__(self) -> dict:
         return self.__dict__ | {"known": np.zeros(0, np.uint64), "value": np.zeros(0, np.float32)}
@@ -207,6 +261,47 @@ class Model:
             pos = np.searchsorted(self.known, distinct)
         return self.value[pos[back]]
 
+    def joined(self, low: np.ndarray, offsets: np.ndarray, start: np.ndarray, end: np.ndarray, margin: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Rows and margins of joined words that the machine finds toxic, more so than each word alone.
+
+        ``start``, ``end`` and ``margin`` tell of the units that stand alone. Of joined words
+        that overlap the strongest count.
+        """
+        ws, we, row = spans.words(low, offsets)
+        first, last = windows_of(low, ws, we, row, self.most)
+        if not len(first):
+            return np.zeros(0, np.int64), np.zeros(0)
+        sign = _SIGN[low]
+        letters = np.concatenate([[0], np.cumsum(~sign)])
+        _, where, back = np.unique(spans.span_hash(spans.prefix(low), ws[first], we[last]), return_index=True, return_inverse=True)
+        begin, stop = letters[ws[first[where]]], letters[we[last[where]]]
+        may = (self.ceilings(low[~sign], begin, stop - begin) > 0)[back]
+        first, last = first[may], last[may]
+        if not len(first):
+            return np.zeros(0, np.int64), np.zeros(0)
+        value = np.clip(self.values(low, ws[first], we[last]), -2, 2).astype(np.float64)
+        hot = value > 0
+        first, last, value = first[hot], last[hot], value[hot]
+        alone = np.full(len(ws), -2.0)
+        unit = np.searchsorted(start, ws, "right") - 1
+        inside = unit >= 0
+        inside[inside] = we[inside] <= end[unit[inside]]
+        alone[inside] = margin[unit[inside]]
+        best = np.full(len(first), -2.0)
+        for k in range(JOINED):
+            at = np.minimum(first + k, last)
+            best = np.maximum(best, alone[at])
+        more = value > best
+        first, value = first[more], value[more]
+        strongest = np.full(len(ws) + 2 * JOINED, -np.inf)
+        np.maximum.at(strongest, first + JOINED, value)
+        at = np.unique(first)
+        mine = strongest[at + JOINED]
+        keep = np.ones(len(at), bool)
+        for k in range(1, JOINED):
+            keep &= (mine >= strongest[at + JOINED + k]) & (mine > strongest[at + JOINED - k])
+        return row[at[keep]], mine[keep]
+
     def text_features(self, buf: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         """Per text: its three highest unit margins, the soft number of toxic units, and their share."""
         n = len(offsets) - 1
@@ -215,6 +310,12 @@ class Model:
         out[:, :3] = -2.0
         if len(start):
             v = np.clip(self.values(low, start, end), -2, 2).astype(np.float64)
+        else:
+            v = np.zeros(0)
+        whole = np.bincount(row, minlength=n)
+        more, w = self.joined(low, offsets, start, end, v)
+        row, v = np.concatenate([row, more]), np.concatenate([v, w])
+        if len(v):
             order = np.lexsort((-v, row))
             r = row[order]
             rank = np.arange(len(r)) - np.searchsorted(r, r)
@@ -223,7 +324,7 @@ class Model:
                 out[row[at], k] = v[at]
             soft = np.bincount(row, 1 / (1 + np.exp(-6 * v)), minlength=n)
             out[:, 3] = np.log1p(soft)
-            out[:, 4] = np.log1p(100 * soft / np.maximum(np.bincount(row, minlength=n), 1))
+            out[:, 4] = np.log1p(100 * soft / np.maximum(whole, 1))
         return out
 
     def scores(self, column: pa.Array) -> np.ndarray:
@@ -269,12 +370,25 @@ def constant(score: float) -> Model:
     return Model(none, np.zeros((1, 1), np.float32), np.zeros(1, np.float32), -1.0, np.array([0, 0, 0, 0, 0, z]))
 
 
+def _joined_words(column: pa.Array, skip: np.ndarray, most: int) -> set[bytes]:
+    """Joined neighbouring words of the texts that are not skipped."""
+    out: set[bytes] = set()
+    for lo, _, buf, offsets in slices(column):
+        low = _LOWER[buf]
+        ws, we, row = spans.words(low, offsets)
+        first, last = windows_of(low, ws, we, row, most)
+        use = ~skip[lo + row[first]]
+        raw = low.tobytes()
+        out.update(_plain(raw[a:b]) for a, b in zip(ws[first[use]].tolist(), we[last[use]].tolist(), strict=True))
+    return out
+
+
 def fit(column: pa.Array, label: np.ndarray) -> Model:
     """Train on labelled texts, a part of which (every fifth) only calibrates.
 
     A sentence inherits its text's label. A unit teaches as toxic if it stands in
     enough different places of toxic sentences and hardly in clean ones, and as
-    clean if it mostly stands in those; clean units that the machine takes for
+    clean if it mostly stands in those; clean units and joined words that the machine takes for
     toxic are added and it is trained again. Landmarks are frequent toxic units,
     such clean ones, and common clean ones.
     """
@@ -301,6 +415,10 @@ def fit(column: pa.Array, label: np.ndarray) -> Model:
         return constant(float(np.clip(label.mean(), 0.01, 0.99)) if len(label) else 0.01)
     spoilt = [v for n, u in enumerate(toxic) for v in _inserted(u, n) if u.isascii()]
     common, pool = clean[: TRAIN_UNITS // 4], clean[TRAIN_UNITS // 4 :]
+    most = min(SIGNS, max(map(len, toxic)))
+    joined = np.array(sorted(_joined_words(column, apart | (label > 0), most) - seen[0].keys() - seen[1].keys()), object)
+    size = np.array([len(u) for u in joined], np.int64)
+    flat = np.frombuffer(b"".join(joined), np.uint8)
     hard: list[bytes] = []
     model = None
     for _ in range(ROUNDS):
@@ -310,11 +428,12 @@ def fit(column: pa.Array, label: np.ndarray) -> Model:
         project = (vector / np.sqrt(np.maximum(value, 1e-4))).astype(np.float32)
         codes = Codes([*toxic, *spoilt, *common, *hard])
         weights, bias = svm(marks.kernel(codes.rows) @ project, np.where(codes.owner < len(toxic) + len(spoilt), 1.0, -1.0))
-        model = Model(marks, project, weights, bias, np.zeros(6))
+        model = Model(marks, project, weights, bias, np.zeros(6), most)
         # the clean units that it finds most toxic join the next round
-        margin = model.unit_values(pool)
+        near = pool + joined[model.ceilings(flat, np.cumsum(size) - size, size) > -1].tolist()
+        margin = model.unit_values(near)
         order = np.argsort(-margin, kind="stable")[: TRAIN_UNITS // 4]
-        hard = list(dict.fromkeys([*hard, *(pool[i] for i in order.tolist() if margin[i] > -1)]))
+        hard = list(dict.fromkeys([*hard, *(near[i] for i in order.tolist() if margin[i] > -1)]))
     x = np.concatenate([model.text_features(buf, offsets) for _, _, buf, offsets in slices(column)])
     use = apart if len(set(label[apart].tolist())) == 2 else train
     model.text = logistic(x[use], label[use])
