@@ -85,10 +85,9 @@ class ContextTree:
 class Model:
     """Context trees by language, and the windows costed so far in this process."""
 
-    def __init__(self, trees: dict[str, ContextTree], most_bits: float = float("inf")):
+    def __init__(self, trees: dict[str, ContextTree]):
         self.languages = sorted(trees)
         self.trees = [trees[x] for x in self.languages]
-        self.most_bits = most_bits
         self.keys: np.ndarray | None = None
 
     def __getstate__(self) -> dict:
