@@ -42,10 +42,10 @@ def statistics(w: Words) -> np.ndarray:
     size = np.diff(w.offsets)
     some, many = np.maximum(size, 1), np.maximum(w.count, 1)
     n_lines, dup = w.repeated_lines()
-    keys = spans.in_row(w.hash, w.row)
-    _, first, times = np.unique(keys, return_index=True, return_counts=True)
+    _, group, later = w.equals()
+    first = np.flatnonzero(~later)
     top = np.zeros(w.n)
-    np.maximum.at(top, w.row[first], times)
+    np.maximum.at(top, w.row[first], np.bincount(group)[group[first]] if len(first) else 0)
     columns = [
         np.log1p(size), np.log1p(w.count), size / many, np.log1p(n_lines), w.count / np.maximum(n_lines, 1), dup / np.maximum(n_lines, 1),
         spans.row_counts(w.row[first], w.n) / many, w.repeated(3) / many, w.repeated(2) / many, top / many,

@@ -4,7 +4,7 @@ The public split pattern cuts a text into contractions, runs of letters, of
 numbers and of other signs (each with one blank before it if there is one), and
 white space. Those cuts depend only on the classes of neighbouring code points,
 so they are found for a megabyte of texts at a time. Equal pieces share their
-ids: a bounded cache in each task holds the ids of pieces met before.
+ids: a bounded memory in each worker holds those of pieces met before, compared by their bytes.
 """
 
 from __future__ import annotations
@@ -88,57 +88,31 @@ def pieces(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return at[s], at[e], h
 
 
-class Pool:
-    """Variable-length runs of values, addressed by slot."""
-
-    def __init__(self, kind: type):
-        self.kind, self.values = kind, np.zeros(0, kind)
-        self.at, self.size = np.zeros(0, np.int64), np.zeros(0, np.int64)
-
-    def insert(self, where: np.ndarray, values: np.ndarray, sizes: np.ndarray) -> None:
-        at = len(self.values) + np.cumsum(sizes) - sizes
-        self.values = np.concatenate([self.values, values.astype(self.kind)])
-        self.at, self.size = np.insert(self.at, where, at), np.insert(self.size, where, sizes)
-
-    def gather(self, slots: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The runs of these slots one after the other, and where each begins (one more at the end)."""
-        at, size = self.at[slots], self.size[slots]
-        bounds = np.concatenate([[0], np.cumsum(size)])
-        return self.values[np.repeat(at - bounds[:-1], size) + np.arange(bounds[-1])], bounds
-
-
 class PieceIds:
-    """Ids of pieces by hash. ``encode`` gets new distinct pieces and returns ids and lengths;
-    ``decode``, if given, gets those and returns bytes and lengths. At most about ``most`` pieces
-    are remembered; then the memory starts afresh, which costs time and changes nothing."""
+    """Ids of pieces. ``encode`` gets new distinct pieces and returns ids and lengths;
+    ``decode``, if given, gets those and returns bytes and lengths. Beyond about ``most`` pieces
+    or ``most_bytes`` of them the memory starts afresh, which costs time and changes nothing."""
 
-    def __init__(self, encode: Callable, decode: Callable | None = None, most: int = 1 << 20):
-        self.encode, self.decode, self.most = encode, decode, most
+    def __init__(self, encode: Callable, decode: Callable | None = None, most: int = 1 << 20, most_bytes: int = 1 << 25):
+        self.encode, self.decode, self.most, self.most_bytes = encode, decode, most, most_bytes
         self.clear()
 
     def clear(self) -> None:
-        self.known = np.zeros(0, np.uint64)
-        self.ids, self.raw = Pool(np.int32), Pool(np.uint8)
+        self.known = spans.SpanTable()
+        self.ids, self.raw = spans.Pool(np.int32), spans.Pool(np.uint8)
 
     def learn(self, buf: np.ndarray, start: np.ndarray, end: np.ndarray, keys: np.ndarray) -> np.ndarray:
         """Make every piece known; returns the slot of each."""
-        if len(self.known) > self.most:
+        if len(self.known) > self.most or self.known.bytes.n > self.most_bytes:
             self.clear()
-        distinct, where, back = np.unique(keys, return_index=True, return_inverse=True)
-        pos = np.searchsorted(self.known, distinct)
-        hit = np.zeros(len(distinct), bool)
-        inside = pos < len(self.known)
-        hit[inside] = self.known[pos[inside]] == distinct[inside]
-        new = np.flatnonzero(~hit)
+        slot, new = self.known.numbers(buf, start, end, keys)
         if len(new):
             raw = buf.tobytes()
-            ids, sizes = self.encode([raw[a:b] for a, b in zip(start[where[new]].tolist(), end[where[new]].tolist(), strict=True)])
-            self.ids.insert(pos[new], ids, sizes)
+            ids, sizes = self.encode([raw[a:b] for a, b in zip(start[new].tolist(), end[new].tolist(), strict=True)])
+            self.ids.append(ids, sizes)
             if self.decode:
-                self.raw.insert(pos[new], *self.decode(ids, sizes))
-            self.known = np.insert(self.known, pos[new], distinct[new])
-            pos = np.searchsorted(self.known, distinct)
-        return pos[back]
+                self.raw.append(*self.decode(ids, sizes))
+        return slot
 
     def slots(self, buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The slot of every piece, and the number of pieces before each row (one more at the end)."""

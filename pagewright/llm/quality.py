@@ -54,10 +54,30 @@ class Words:
             h = spans.mix(h * U(0x9E3779B97F4A7C15) + self.hash[at + j])
         return at, h
 
+    def bytes_of(self, i: int) -> bytes:
+        return self.buf[self.start[i] : self.end[i]].tobytes()
+
+    def same_words(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        return spans.same_spans(self.buf, self.start[i], self.end[i], self.buf, self.start[j], self.end[j])
+
+    def equals(self, k: int = 1) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """First words of the k-word windows, the class of equal windows of a row that each is in, and whether an earlier one is."""
+        at, h = self.windows(k) if k > 1 else (np.arange(len(self.row)), self.hash)
+
+        def same(i: np.ndarray, j: np.ndarray) -> np.ndarray:
+            out = self.row[at[i]] == self.row[at[j]]
+            for q in range(k):
+                live = np.flatnonzero(out)
+                out[live] = self.same_words(at[i[live]] + q, at[j[live]] + q)
+            return out
+
+        name = lambda i: (int(self.row[at[i]]), *(self.bytes_of(int(at[i]) + q) for q in range(k)))
+        return at, *spans.groups(spans.in_row(h, self.row[at]), same, name)
+
     def repeated(self, k: int = 3) -> np.ndarray:
         """Words of each row in k-word windows that the row holds twice or more."""
-        at, h = self.windows(k)
-        twice, _ = spans.seen_twice(spans.in_row(h, self.row[at]))
+        at, group, _ = self.equals(k)
+        twice = np.bincount(group)[group] > 1 if len(group) else np.zeros(0, bool)
         cover = np.zeros(len(self.row) + k, np.int64)
         for j in range(k):
             cover[at[twice] + j] = 1
@@ -68,7 +88,9 @@ class Words:
         start, end, row = spans.lines(self.buf, self.offsets)
         some = np.searchsorted(self.start, end) > np.searchsorted(self.start, start)
         start, end, row = start[some], end[some], row[some]
-        _, later = spans.seen_twice(spans.in_row(spans.span_hash(self.pre, start, end), row))
+        same = lambda i, j: (row[i] == row[j]) & spans.same_spans(self.buf, start[i], end[i], self.buf, start[j], end[j])
+        name = lambda i: (int(row[i]), self.buf[start[i] : end[i]].tobytes())
+        _, later = spans.groups(spans.in_row(spans.span_hash(self.pre, start, end), row), same, name)
         return spans.row_counts(row, self.n), spans.row_counts(row[later], self.n)
 
 

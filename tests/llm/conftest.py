@@ -19,6 +19,12 @@ def sentence(k: int, n: int = 60) -> str:
     return " ".join(rng.choice(base) + rng.choice(["", "", "s", "ed", "ing"]) for _ in range(n)) + "."
 
 
+def thue_morse(n: int) -> tuple[str, str]:
+    """Two words of n letters that polynomial hashes modulo 2**64 cannot tell apart."""
+    a = "".join("ab"[i.bit_count() & 1] for i in range(n))
+    return a, a.translate({97: 98, 98: 97})
+
+
 @pytest.fixture(scope="session")
 def odd_texts():
     """Nulls, empties, blanks, signs only, ties, a very long text, wide signs."""

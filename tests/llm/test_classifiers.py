@@ -10,7 +10,7 @@ import pyarrow as pa
 import pytest
 
 from pagewright.llm import boosting, common, langid, quality, toxicity
-from tests.llm.conftest import BAD, GOOD, sentence
+from tests.llm.conftest import BAD, GOOD, sentence, thue_morse
 
 
 def brute_counts(text):
@@ -27,6 +27,34 @@ def brute_counts(text):
     return n, sum(map(len, words)), sum(c in "#*$%&|<>" for c in text), dup, repeat, n < 50 or 100 * repeat > 50 * n
 
 
+def brute_statistics(text):
+    """The features of the quality classifier, one text at a time."""
+    raw = (text or "").encode()
+    words = raw.split()
+    lines = [x for x in raw.split(b"\n") if x.split()]
+    n, m = max(1, len(words)), max(1, len(lines))
+
+    def repeated(k):
+        runs = list(zip(*(words[q:] for q in range(k))))
+        times = collections.Counter(runs)
+        return len({i + q for i, r in enumerate(runs) if times[r] > 1 for q in range(k)}) / n
+
+    out = [math.log1p(len(raw)), math.log1p(len(words)), len(raw) / n, math.log1p(len(lines)), len(words) / m, (len(lines) - len(set(lines))) / m]
+    out += [len(set(words)) / n, repeated(3), repeated(2), max(collections.Counter(words).values(), default=0) / n]
+    kinds = [str.isupper, str.islower, str.isdigit, lambda c: c in "#*$%&|<>=+^~@_\\/{}[]", lambda c: c in "!?", lambda c: c in ".,;:", lambda c: c == "|", lambda c: c in " \t\n\r\x0b\x0c"]
+    for kind in kinds:
+        out.append(sum(b < 128 and kind(chr(b)) for b in raw) / max(1, len(raw)))
+    return [*out, sum(b > 127 for b in raw) / max(1, len(raw))]
+
+
+def test_statistics(odd_texts):
+    one, two = thue_morse(2048)
+    texts = odd_texts + [f"{one}\n{two}\n{one}", f"{one} {two} {one} {two}", "a b a b a b", "x\ny\nx\n\n"]
+    got = boosting.features(pa.array(texts, pa.string()))
+    np.testing.assert_allclose(got, [brute_statistics(t) for t in texts], rtol=1e-12, atol=1e-12)
+    assert boosting.features(pa.array([], pa.string())).shape == (0, len(boosting.NAMES))
+
+
 def labelled_tables(spark, documents, tmp_path, target):
     rng = random.Random(5)
     texts, labels = [], []
@@ -48,7 +76,8 @@ def labelled_tables(spark, documents, tmp_path, target):
 
 
 def test_base_counts(odd_texts):
-    texts = odd_texts + ["a b c a b c", "x y\nx y\n\n \nx y", "# a\n# a\n", GOOD * 4, "a b a b a b", "é # é"]
+    one, two = thue_morse(2048)  # of one hash
+    texts = odd_texts + [f"{one}\n{two}\n{one}\n{two}", f"x {one} y x {two} y", f"x {one} y x {one} y", "a b c a b c", "x y\nx y\n\n \nx y", "# a\n# a\n", GOOD * 4, "a b a b a b", "é # é"]
     got = quality.judged(pa.array(texts, pa.string()), quality.Model(np.append(np.zeros(3 << quality.BITS), 9.0)))
     for i, t in enumerate(texts):
         assert tuple(got[k][i] for k in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")) == brute_counts(t)

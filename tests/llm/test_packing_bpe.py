@@ -14,6 +14,7 @@ import tiktoken
 from tokenizers import Tokenizer
 
 from pagewright.llm import bpe, common, packing, pretok
+from tests.llm.conftest import thue_morse
 
 
 @pytest.fixture(scope="module")
@@ -41,7 +42,6 @@ def test_pieces_are_those_of_the_public_pattern():
 
 def test_packing_ids_are_those_of_the_library():
     library = Tokenizer.from_file(packing.vocabulary_path())
-    library.encode_special_tokens = True
     texts = random_texts(500)
     ids, at = packing.coder(packing.vocabulary_path()).encode_rows(*common.texts(pa.array(texts)))
     assert [ids[a:b].tolist() for a, b in zip(at, at[1:])] == [library.encode(t, add_special_tokens=False).ids for t in texts]
@@ -81,7 +81,6 @@ def test_op5_digests(spark, documents, odd_texts, encoding, tmp_path):
 
 def check_pieces(rows, texts, window):
     library = Tokenizer.from_file(packing.vocabulary_path())
-    library.encode_special_tokens = True
     by_doc, by_sequence = {}, {}
     for r in rows:
         by_doc.setdefault(r["doc_id"], []).append(r)
@@ -115,3 +114,28 @@ def test_packing_repeated_and_null_ids(spark, documents):
     rows = packing.pack(spark, documents(["a b", "a b", "c"], [5, 5, None])).collect()
     assert sorted((str(r["doc_id"]), r["length"]) for r in rows) == [("5", 3), ("5", 3), ("None", 2)]
     assert sorted(r["offset"] for r in rows) in ([0, 3, 6], [0, 2, 5], [0, 3, 5])
+
+
+def test_words_of_one_hash_have_their_own_ids(encoding):
+    texts = [*thue_morse(1024), *thue_morse(2048), thue_morse(2048)[0]]
+    library = Tokenizer.from_file(packing.vocabulary_path())
+    for coder, want in (
+        (packing.Coder(packing.vocabulary_path()), [library.encode(t, add_special_tokens=False).ids for t in texts]),
+        (bpe.engine(bpe.ranks_path())[1], [encoding.encode_ordinary(t) for t in texts]),
+    ):
+        for _ in range(2):  # within one slice, then from memory
+            ids, at = coder.encode_rows(*common.texts(pa.array(texts)))
+            assert [ids[a:b].tolist() for a, b in zip(at, at[1:])] == want
+
+
+def test_special_strings_are_read_as_the_library_does():
+    library = Tokenizer.from_file(packing.vocabulary_path())
+    texts = ["hello <|endoftext|> world", "<|endoftext|>", "a  <|endoftext|><|endoftext|>\n", "", "<|endoftext", "no", "x <|endoftext|>'s 's"]
+    ids, at = packing.coder(packing.vocabulary_path()).encode_rows(*common.texts(pa.array(texts)))
+    assert [ids[a:b].tolist() for a, b in zip(at, at[1:])] == [library.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def test_op5_of_an_empty_table(spark, documents, tmp_path):
+    documents([]).write.parquet(f"{tmp_path}/documents.parquet")
+    assert bpe.op5_byte_bpe(spark, str(tmp_path)).collect() == []
+    assert packing.op7_packing(spark, str(tmp_path)).collect() == []
