@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 DEFAULT_WORK_DIR = "/tmp/checkpoints"
 #: Shares of a group that are ranked apart before the group is.
 SALTS = 32
+#: Longest text, in bytes, that a model learns from. Every text is scored whole.
+MOST_BYTES = 1 << 15
 
 
 def with_workers(spark: SparkSession) -> SparkSession:
@@ -34,11 +36,23 @@ def with_workers(spark: SparkSession) -> SparkSession:
 
 
 def work_path(spark: SparkSession, name: str) -> str:
-    """A fresh path in the folder that driver and executors share."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or DEFAULT_WORK_DIR
+    """A fresh path in the folder that driver and executors share; a cluster must name one in spark.checkpoint.dir."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        base = DEFAULT_WORK_DIR
     return f"{base.rstrip('/')}/pagewright/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex[:12]}"
 
 
+def dropped(spark: SparkSession, df: DataFrame) -> None:
+    """Delete the work table that ``df`` reads, once nothing reads it any more."""
+    for f in {x.rsplit("/", 1)[0] for x in df.inputFiles()}:
+        if "/pagewright/" in f:
+            path = spark._jvm.org.apache.hadoop.fs.Path(f)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def written(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back.
 
@@ -65,21 +79,31 @@ def fold_of(ids: pa.Array, n: int) -> np.ndarray:
 
 
 def bounded_sample(df: DataFrame, by: list[str], key: str, per_group: int) -> DataFrame:
-    """At most ``per_group`` rows of each group, the same ones on every run.
+    """At most ``per_group`` different rows of each group, the same ones on every run.
 
-    Only the columns of ``df`` travel, so pass ids, not texts. Each group is first
-    cut down in ``SALTS`` shares, so no task ever ranks more than that many times
-    ``per_group`` rows, however large the group is.
+    Only the columns of ``df`` travel, so pass ids, not texts. Repeated rows count once.
+    Each group is first cut down in ``SALTS`` shares, each to twice its part of
+    ``per_group`` and some, so no task ranks more than about that, however large the group is.
     """
     from pyspark.sql import Window
 
-    order = [F.xxhash64(key), F.col(key)]
-    for parts in ([*by, F.pmod(F.xxhash64(key), F.lit(SALTS))], by):
+    order = [F.xxhash64(key, F.lit(1)), F.col(key)]
+    df = df.distinct()
+    for parts, most in (([*by, F.pmod(F.xxhash64(key), F.lit(SALTS))], 2 * per_group // SALTS + 64), (by, per_group)):
         w = Window.partitionBy(*parts).orderBy(*order)
-        df = df.withColumn("_rank", F.row_number().over(w)).filter(F.col("_rank") <= per_group).drop("_rank")
+        df = df.withColumn("_rank", F.row_number().over(w)).filter(F.col("_rank") <= most).drop("_rank")
     return df
 
 
+def texts_of(rows: DataFrame, picked: DataFrame, keys: list[str]) -> DataFrame:
+    """One text for each of the ``picked`` keys (a bounded number, broadcast), of those that repeat the one with the least hash.
+
+    Texts of over ``MOST_BYTES`` teach nothing, so what reaches the driver is bounded too.
+    """
+    found = rows.filter(F.octet_length("text") <= MOST_BYTES).join(F.broadcast(picked), keys)
+    return found.groupBy(*picked.columns).agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text")).alias("m")).select(*picked.columns, F.col("m.text").alias("text"))
+
+
 def first_by_hash(df: DataFrame, key: str, n: int, most: int) -> DataFrame:
     """The ``most`` rows of ``df`` whose hash of ``key`` is least; ``n`` is the number of its rows.
 

@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import dropped, written
 
 
 class Forest:
@@ -46,8 +46,8 @@ def components(spark: SparkSession, edges: DataFrame) -> DataFrame:
 
     Every round hooks each node to the least label beside it and then jumps to
     that label's own label, so the number of rounds grows with the logarithm of
-    the longest chain. Rounds are written to the shared folder; nothing but one
-    row count reaches the driver. Nodes without an edge are absent; an empty
+    the longest chain. Rounds are written to the shared folder and deleted once the next is;
+    nothing but one row count reaches the driver. Nodes without an edge are absent; an empty
     edge table gives an empty result; null ends are ignored.
     """
     pairs = edges.select(F.col("a").cast("long"), F.col("b").cast("long")).filter("a <> b")
@@ -59,7 +59,9 @@ def components(spark: SparkSession, edges: DataFrame) -> DataFrame:
         hooked = label.join(beside, F.col("node") == F.col("a")).select("node", F.col("root").alias("old"), F.least("root", "m").alias("near"))
         far = label.select(F.col("node").alias("near"), F.col("root").alias("jump"))
         step = hooked.join(far, "near").select("node", "old", F.least("near", "jump").alias("root"))
-        step = written(spark, step, "labels")
+        step, before = written(spark, step, "labels"), label
         label = step.select("node", "root")
+        dropped(spark, before)
         if not step.filter("old <> root").limit(1).count():
+            dropped(spark, pairs)
             return label

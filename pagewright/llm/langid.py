@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import spans
-from .common import bounded_sample, fold, slices, table, with_workers
+from .common import MOST_BYTES, bounded_sample, fold, slices, table, texts_of, with_workers
 
 #: Bytes of context; labelled texts per language that the trees grow from.
 ORDER, TEXTS_PER_LANGUAGE = 4, 400
@@ -149,9 +149,8 @@ def train(spark: SparkSession, docs: DataFrame) -> Model:
     """
     known = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
     known = known.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & (fold("doc_id", FOLDS) != HELD_OUT))
-    picked = bounded_sample(known.select("doc_id", "lang"), ["lang"], "doc_id", TEXTS_PER_LANGUAGE)
-    ids = picked.select("doc_id").distinct()  # bounded: texts per language times languages
-    rows = known.join(F.broadcast(ids), "doc_id", "left_semi").select("lang", "text").toArrow()
+    picked = bounded_sample(known.filter(F.octet_length("text") <= MOST_BYTES).select("doc_id", "lang"), ["lang"], "doc_id", TEXTS_PER_LANGUAGE)
+    rows = texts_of(known, picked, ["doc_id", "lang"]).select("lang", "text").toArrow()
     by_lang, trees = rows.column("lang").to_pylist(), {}
     for lang in sorted(set(by_lang)):
         column = rows.column("text").filter(pa.array([x == lang for x in by_lang])).combine_chunks()

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import spans
-from .common import bounded_sample, fold, fold_of, slices, table, with_workers
+from .common import bounded_sample, fold, fold_of, slices, table, texts_of, with_workers
 
 #: A text with fewer words fails, as does one with a larger percentage of words in repeated three-word windows.
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
@@ -208,15 +208,15 @@ def fit(column: pa.Array, label: np.ndarray, apart: np.ndarray, rounds: int = 12
 def labelled(spark: SparkSession, docs: DataFrame, labels: DataFrame, target: str, per_class: int, folds: int, held_out: int | None) -> pa.Table:
     """``(doc_id, text, label)`` of up to ``per_class`` labelled rows of each class, the held-out fold left out.
 
-    Only ids are ranked; the texts of the picked ids come by a broadcast of those.
+    Only ids are ranked; the texts of the picked ids come by a broadcast of those, one for each id.
     """
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(target).cast("int").alias("label"))
     known = known.filter(F.col("doc_id").isNotNull() & F.col("label").isin(0, 1))
     if held_out is not None:
         known = known.filter(fold("doc_id", folds) != held_out)
     picked = bounded_sample(known.groupBy("doc_id").agg(F.max("label").alias("label")), ["label"], "doc_id", per_class)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).filter(F.col("text").isNotNull())
-    return rows.join(F.broadcast(picked), "doc_id").toArrow().combine_chunks().sort_by("doc_id")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return texts_of(rows, picked, ["doc_id"]).select("doc_id", "text", "label").toArrow().combine_chunks().sort_by("doc_id")
 
 
 def train(spark: SparkSession, docs: DataFrame, labels: DataFrame) -> Model:

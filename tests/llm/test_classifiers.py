@@ -132,19 +132,91 @@ def test_subsequence_kernel():
         p, q = phi(a), phi(b)
         return sum(v * q[k] for k, v in p.items()) / math.sqrt(sum(v * v for v in p.values()) * sum(v * v for v in q.values()))
     units = [b"idiot", b"idi0ot", b"banana", b"nab", b"abcabc"]
-    marks = toxicity.Landmarks(toxicity.Codes(units[:3]).rows)
-    got = marks.kernel(toxicity.Codes(units).rows)
-    assert np.allclose(got, [[brute(a, b) for b in units[:3]] for a in units], atol=1e-5)
+    rows = padded(units)
+    marks = toxicity.Landmarks(rows[:3])
+    assert np.allclose(marks.kernel(rows), [[brute(a, b) for b in units[:3]] for a in units], atol=1e-5)
+
+
+def padded(units):
+    ends = np.cumsum([len(u) for u in units])
+    return toxicity.padded(np.frombuffer(b"".join(units), np.uint8), ends - [len(u) for u in units], ends)
+
+
+def brute_score(model, learnt, text):
+    """The toxicity of one text, unit by unit; ``learnt`` are the units that the machine takes for toxic."""
+    value = lambda u: float(model.margins(padded([u]))[0])
+    plain = [bytes(b for b in w.lower() if b >= 128 or chr(b).isalnum()) for w in (text or "").encode().split()]
+    words, units, k = [w for w in plain if w], [], 0
+    while k < len(words):
+        n = k + 1
+        while len(words[k].decode()) == 1 and n < len(words) and len(words[n].decode()) == 1:
+            n += 1
+        unit, half = b"".join(words[k:n]), toxicity.SIGNS // 2
+        units += [unit] if len(unit) <= 2 * half else [unit[a : a + 2 * half] for a in range(0, len(unit) - half, half)]
+        k = n
+    units = [u for u in units if len(u) >= toxicity.LENGTH]
+
+    def bits(w, kind):
+        forms = {w} | ({w[:i] + w[i + 1 :] for i in range(len(w))} if len(w) >= toxicity.SPOILT else set())
+        out = 0
+        for i, t in enumerate(learnt):
+            parts = {t[:n] for n in range(1, len(t))} if kind == 0 else {t[a:] for a in range(1, len(t))} if kind == 2 else {t[a : a + n] for a in range(len(t)) for n in range(1, len(t) - a + 1)}
+            out |= (1 << i % 64) if forms & parts else 0
+        return out
+
+    found, most = {}, max(map(len, learnt), default=0)
+    for i in range(len(words)):
+        for k in range(1, toxicity.JOINED):
+            part = words[i : i + k + 1]
+            u = b"".join(part)
+            if len(part) <= k or any(len(w) > toxicity.SIGNS for w in part) or not toxicity.LENGTH <= len(u) <= min(toxicity.SIGNS, most + k + 1):
+                continue
+            live = bits(part[0], 0) & bits(part[-1], 2)
+            for w in part[1:-1]:
+                live &= bits(w, 1)
+            if live and value(u) > max(0, *(value(w) for w in part)) and value(u) > found.get(i, (b"", -9))[1]:
+                found[i] = u, value(u)
+    at = lambda i: found.get(i, (b"", -9))[1]
+    joined = [u for i, (u, v) in found.items() if all(v >= at(i + k) and v > at(i - k) for k in range(1, toxicity.JOINED))]
+    clip = lambda u: min(2, max(-2, value(u)))
+    soft = sum(1 / (1 + math.exp(-6 * clip(u))) for u in units + joined)
+    top = sorted((clip(u) for u in {*units, *joined}), reverse=True)[:3]
+    x = [*top, *[-2.0] * (3 - len(top)), math.log1p(soft), math.log1p(100 * soft / max(1, len(units)))]
+    return 1 / (1 + math.exp(-np.dot(model.text, [*x, 1])))
+
+
+def test_toxicity_scores_are_those_of_single_units():
+    units = [b"nitwit", b"dunderhead", b"walking", b"reader"]
+    rows = padded(units)
+    marks = toxicity.Landmarks(rows)
+    model = toxicity.Model(marks, np.array([1.6, 1.4, -0.5, -0.5], np.float32), -0.4, toxicity.Parts(rows[:2]), np.array([1.0, 0.5, 0.2, 0.3, 0.4, -1.0]))
+    texts = [None, "", "...", "a nit wit", "nit wit nitwit nitwit", "d u n d e r head walking", "dun x der head of ni twit", "nitwitnitwitnitwitnitwit reader", "É nItWiTé dunder-heads", "n i t w i t dunder hea d", sentence(3)]
+    for _ in range(2):  # new units, then remembered ones
+        assert np.allclose(model.scores(pa.array(texts, pa.string())), [brute_score(model, units[:2], t) for t in texts], atol=1e-5)
+    assert model.scores(pa.array([], pa.string())).shape == (0,)
+
+
+def test_machine_is_the_best_of_its_loss():
+    rng = np.random.default_rng(4)
+    x, up, down = rng.standard_normal((200, 3)), rng.random(200), rng.random(200)
+    w, b = toxicity.svm(x, up, down, ridge=1e-3, steps=50)
+    def loss(v):
+        z = x @ v[:3] + v[3]
+        return up @ np.maximum(0, 1 - z) ** 2 + down @ np.maximum(0, 1 + z) ** 2 + 1e-3 * v[:3] @ v[:3]
+    best = np.append(w, b).astype(float)
+    assert all(loss(best) <= loss(best + s * step) + 1e-6 for s in (0.05, -0.05) for step in np.eye(4))
 
 
 def test_toxicity(spark, documents, tmp_path, odd_texts, monkeypatch):
     monkeypatch.setattr(toxicity, "LANDMARKS", 16)
     sf, texts, labels = labelled_tables(spark, documents, tmp_path, "toxic")
+    # repeated rows and rows with one id
+    documents([texts[1], texts[1], "nitwit again"], [1, 900, 900]).write.mode("append").parquet(f"{sf}/documents.parquet")
     rows = {r["doc_id"]: r for r in toxicity.op4_toxicity(spark, sf).collect()}
     held = [(i, t) for i, _, t in labels if rows[i]["held_out"]]
     assert held and sum(rows[i]["predicted"] == t for i, t in held) >= 0.9 * len(held)
     model = toxicity.train(spark, documents(texts), spark.read.parquet(f"{sf}/labels.parquet"))
-    spoilt = GOOD + " n-i-t-w-i-t " + GOOD + " b l o c k h e a d and dunder.head numb0skull"
+    spoilt = GOOD + " n-i-t-w-i-t " + GOOD + " b l o c k h e a d and dunder.head numb0skull nit wit"
     clean, toxic = model.scores(pa.array([GOOD, spoilt]))
     assert clean < 0.3 <= toxic
     assert all(0 <= s <= 1 for s in model.scores(pa.array(odd_texts, pa.string())))
