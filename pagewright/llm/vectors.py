@@ -10,7 +10,10 @@ the first one that both share, which is where it was first compared, so link cou
 need no pair table. Leaves report a spanning forest of their links, which is united
 into components.
 
-Exact copies are grouped first and compared once.
+Exact copies are grouped first and compared once. Below the tops, leaves go on splitting by
+directions that all leaves of a tree share, so routed leaves stay small however many vectors
+there are. A leaf that stays large all the same (a crowd that no direction parts) is dealt
+into blocks, and each pair of blocks is compared in a task of its own.
 """
 
 from __future__ import annotations
@@ -35,8 +38,10 @@ ROUTED_ROWS, SAMPLE_ROWS = 2048, 32768
 #: Lengths of vectors that get routing tops at most, the commonest ones; all vectors of another length share one leaf a tree.
 ROUTED_DIMS = 64
 BLOCK = 512
-#: Leaves of a tree have numbers below ``STEP``, parts of a leaf too. A part's place is its leaf times ``STEP`` plus its number.
-STEP = 1 << 20
+#: A routed leaf of more rows is compared in blocks of about so many.
+BIG_LEAF = 1 << 14
+#: Bits of a leaf's number within its tree, and of a part's within its leaf; tree, leaf and part make up a part's place.
+LEAF_BITS, PART_BITS = 40, 18
 
 
 def unit_rows(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -62,48 +67,68 @@ def _direction(dim: int, rng: np.random.Generator) -> np.ndarray:
     return d / np.linalg.norm(d)
 
 
-def routing_tree(sample: np.ndarray, depth: int, seed: int) -> list[tuple[np.ndarray, float, int, int]]:
-    """Nodes ``(direction, boundary, left, right)``; a child below 0 is leaf ``-child - 1``."""
-    rng = np.random.default_rng(seed)
-    nodes: list = []
-    leaves = 0
+class Tree:
+    """Routing of one tree: nodes ``(direction, boundary, left, right)`` from a sample (a child below 0 is
+    leaf ``-child - 1``), then ``deep`` levels whose directions all leaves share, each with its own boundary."""
+
+    def __init__(self, sample: np.ndarray, depth: int, deep: int, seed: int):
+        self.nodes: list = []
+        self.leaves: list[np.ndarray] = []
+        self.rng = np.random.default_rng(seed)
+        if len(sample):
+            self._grow(sample, depth)
+            self.directions = [_direction(sample.shape[1], self.rng) for _ in range(deep)]
+            self.cuts = np.array([self._cuts(x) for x in self.leaves])
+        else:
+            self.directions, self.cuts = [], np.zeros((0, 0))
+        self.leaves = []
 
-    def grow(x: np.ndarray, left: int) -> int:
-        nonlocal leaves
+    def _grow(self, x: np.ndarray, left: int) -> int:
         if left and len(x) >= 32:
             for _ in range(4):
-                d = _direction(x.shape[1], rng)
+                d = _direction(x.shape[1], self.rng)
                 p = x @ d
                 cut = float(np.median(p))
                 if (p < cut + SPILL).mean() < 0.9 and (p >= cut - SPILL).mean() < 0.9:
-                    at = len(nodes)
-                    nodes.append(None)
-                    nodes[at] = (d, cut, grow(x[p < cut + SPILL], left - 1), grow(x[p >= cut - SPILL], left - 1))
+                    at = len(self.nodes)
+                    self.nodes.append(None)
+                    self.nodes[at] = (d, cut, self._grow(x[p < cut + SPILL], left - 1), self._grow(x[p >= cut - SPILL], left - 1))
                     return at
-        leaves += 1
-        return -leaves
-
-    if len(sample):
-        grow(sample, depth)
-    return nodes
-
-
-def route(nodes: list, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Rows and leaves, with both sides where a vector lies close to a boundary."""
-    rows, leaves = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-    todo = [(0 if nodes else -1, np.arange(len(x)))]
-    while todo:
-        at, who = todo.pop()
-        if not len(who):
-            continue
-        if at < 0:
-            rows.append(who)
-            leaves.append(np.full(len(who), -at - 1, np.int64))
-            continue
-        d, cut, left, right = nodes[at]
-        p = x[who] @ d
-        todo += [(left, who[p < cut + SPILL]), (right, who[p >= cut - SPILL])]
-    return np.concatenate(rows), np.concatenate(leaves)
+        self.leaves.append(x)
+        return -len(self.leaves)
+
+    def _cuts(self, x: np.ndarray) -> list[float]:
+        """The boundary of each deep level in a leaf with these sampled rows; none (infinite) where it would not part them."""
+        out = []
+        for d in self.directions:
+            p = x @ d
+            cut = float(np.median(p)) if len(p) else 0.0
+            out.append(cut if not len(p) or max((p < cut + SPILL).mean(), (p >= cut - SPILL).mean()) < 0.75 else np.inf)
+        return out
+
+    def route(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Rows and leaves, with both sides where a vector lies close to a boundary."""
+        rows, leaves = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        todo = [(0 if self.nodes else -1, np.arange(len(x)))]
+        while todo:
+            at, who = todo.pop()
+            if not len(who):
+                continue
+            if at < 0:
+                rows.append(who)
+                leaves.append(np.full(len(who), -at - 1, np.int64))
+                continue
+            d, cut, left, right = self.nodes[at]
+            p = x[who] @ d
+            todo += [(left, who[p < cut + SPILL]), (right, who[p >= cut - SPILL])]
+        row, top = np.concatenate(rows), np.concatenate(leaves)
+        leaf = top
+        for q, d in enumerate(self.directions):
+            p, cut = (x @ d)[row], self.cuts[top, q]
+            low, high = p < cut + SPILL, p >= cut - SPILL
+            row, top, leaf = (np.concatenate([c[low], c[high]]) for c in (row, top, 2 * leaf))
+            leaf[int(low.sum()) :] += 1
+        return row, leaf
 
 
 def _parts(x: np.ndarray, seed: int) -> list[np.ndarray]:
@@ -127,11 +152,12 @@ def _parts(x: np.ndarray, seed: int) -> list[np.ndarray]:
     return out
 
 
-def _padded(lists: list[np.ndarray]) -> np.ndarray:
-    width = max(map(len, lists), default=0)
-    out = np.full((len(lists), max(width, 1)), -1, np.int64)
-    for i, v in enumerate(lists):
-        out[i, : len(v)] = v
+def _padded(lists: pa.Array) -> np.ndarray:
+    """Lists of longs as rows, padded by -1."""
+    n = pa.compute.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
+    out = np.full((len(n), max(int(n.max(initial=0)), 1)), -1, np.int64)
+    row = np.repeat(np.arange(len(n)), n)
+    out[row, np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)] = lists.flatten().to_numpy()
     return out
 
 
@@ -154,35 +180,45 @@ def _met_before(places: np.ndarray, i: np.ndarray, j: np.ndarray, limit: int) ->
 def part_places(x: np.ndarray, here: int) -> tuple[np.ndarray, np.ndarray]:
     """Rows and places of the parts of routed leaf ``here``."""
     parts = _parts(x, here)
-    return np.concatenate(parts), np.repeat(here * STEP + np.arange(len(parts)), [len(who) for who in parts])
+    return np.concatenate(parts), np.repeat((here << PART_BITS) + np.arange(len(parts)), [len(who) for who in parts])
+
 
+def _met_in_bulk(places: np.ndarray, kind: np.ndarray, first: np.ndarray, i: np.ndarray, j: np.ndarray, limit: int) -> np.ndarray:
+    """``_met_before`` by kinds of rows: those with the same places are asked about once."""
+    if len(i) < 4096:
+        return _met_before(places, i, j, limit)
+    pair, back = np.unique(kind[i] * len(first) + kind[j], return_inverse=True)
+    return _met_before(places, first[pair // len(first)], first[pair % len(first)], limit)[back]
 
-def leaf_links(x: np.ndarray, size: np.ndarray, places: np.ndarray, here: int) -> tuple[np.ndarray, list[tuple[int, int]]]:
+
+def leaf_links(x: np.ndarray, size: np.ndarray, places: np.ndarray, here: int, side: np.ndarray | None = None) -> tuple[np.ndarray, list[tuple[int, int]]]:
     """Links of each row first compared in this routed leaf (copies counted), and a spanning forest of all links found.
 
     ``places`` holds each row's places in all trees up to this leaf, rising, padded by -1.
+    With ``side``, only rows of different sides are compared.
     """
-    row, at = np.nonzero(places // STEP == here)
+    _, kind_first, kind = np.unique(places, axis=0, return_index=True, return_inverse=True)
+    row, at = np.nonzero(places >> PART_BITS == here)
     part = places[row, at]
     order = np.argsort(part, kind="stable")
     row, part = row[order], part[order]
     first = np.flatnonzero(np.diff(part, prepend=-1))
     count, forest, tree = np.zeros(len(x), np.int64), Forest(len(x)), []
     for place, who in zip(part[first].tolist(), np.split(row, first[1:]), strict=True):
-        for lo in range(0, len(who), BLOCK):
-            a = who[lo : lo + BLOCK]
-            for lo2 in range(lo, len(who), BLOCK):
-                b = who[lo2 : lo2 + BLOCK]
+        left, right = (who, who) if side is None else (who[~side[who]], who[side[who]])
+        for lo in range(0, len(left), BLOCK):
+            a = left[lo : lo + BLOCK]
+            for lo2 in range(lo if side is None else 0, len(right), BLOCK):
+                b = right[lo2 : lo2 + BLOCK]
                 i, j = np.nonzero(x[a] @ x[b].T >= COSINE)
-                if lo == lo2:
+                if side is None and lo == lo2:
                     i, j = i[i < j], j[i < j]
                 i, j = a[i], b[j]
                 if not len(i):
                     continue
                 tree += forest.link_all(i, j)
-                new = ~_met_before(places, i, j, place)
-                np.add.at(count, i[new], size[j[new]])
-                np.add.at(count, j[new], size[i[new]])
+                new = ~_met_in_bulk(places, kind, kind_first, i, j, place)
+                count += np.bincount(i[new], size[j[new]], len(x)).astype(np.int64) + np.bincount(j[new], size[i[new]], len(x)).astype(np.int64)
     return count, tree
 
 
@@ -201,12 +237,13 @@ def near_vectors(spark: SparkSession, rows: DataFrame, vec_id: str = "vec_id", e
     vector = "array<float>" if rows.select(embedding).schema[0].dataType.simpleString() == "array<float>" else "array<double>"
     base = rows.select(F.col(vec_id).cast("long").alias("vec_id"), F.col(embedding).cast(vector).alias("v"))
     usable = F.col("v").isNotNull() & (F.size("v") > 0) & ~F.exists("v", lambda e: e.isNull() | F.isnan(e) | (F.abs(e) == float("inf"))) & F.exists("v", lambda e: e != 0)
-    # +0 and -0 are one value; a class is a distinct vector, named by 64 bits of its SHA-256
+    # +0 and -0 are one value; a class is a distinct vector, told by the SHA-256 of its components
     text = F.concat_ws(",", F.transform(F.col("v").cast("array<double>"), lambda e: F.when(e == 0, F.lit(0.0)).otherwise(e).cast("string")))
-    class_of = F.when(F.coalesce(usable, F.lit(False)), F.conv(F.substring(F.sha2(text, 256), 1, 15), 16, 10).cast("long"))
-    base = written(spark, base.select("vec_id", class_of.alias("class"), "v"), "vectors")
-    classes = base.filter("class IS NOT NULL").groupBy("class").agg(F.count("*").alias("size"), F.min("vec_id").alias("first_id"), F.first("v").alias("v"))
-    classes = written(spark, classes.withColumn("dim", F.size("v")), "classes")
+    digest = F.when(F.coalesce(usable, F.lit(False)), F.unhex(F.sha2(text, 256)))
+    base = written(spark, base.select("vec_id", digest.alias("digest"), "v"), "vectors")
+    classes = base.filter("digest IS NOT NULL").groupBy("digest").agg(F.count("*").alias("size"), F.min("vec_id").alias("first_id"), F.first("v").alias("v"))
+    # numbers are given once, as the table is written
+    classes = written(spark, classes.withColumn("dim", F.size("v")).withColumn("class", F.monotonically_increasing_id()), "classes")
     n = classes.count()
     # vectors of one length are compared with each other; a length with few vectors needs no routing
     dims = classes.groupBy("dim").count().filter(F.col("count") > ROUTED_ROWS).orderBy(F.desc("count"), "dim").limit(ROUTED_DIMS).collect()
@@ -216,18 +253,21 @@ def near_vectors(spark: SparkSession, rows: DataFrame, vec_id: str = "vec_id", e
         for dim, many in dims:
             sample, good = unit_rows(got.filter(pa.compute.equal(got.column("dim"), dim)).column("v"))
             sample = sample[good]
-            depth = max(0, min(math.ceil(math.log2(many / ROUTED_ROWS)), (SAMPLE_ROWS // 64).bit_length() - 1))
-            tops[dim] = [routing_tree(sample, depth, t) for t in range(TREES)]
+            levels = max(0, math.ceil(math.log2(many / ROUTED_ROWS)))
+            depth = min(levels, max(1, SAMPLE_ROWS // 64).bit_length() - 1)
+            tops[dim] = [Tree(sample, depth, min(levels, LEAF_BITS - 2) - depth, t) for t in range(TREES)]
     forest = spark.sparkContext.broadcast(tops)
 
+    plain = Tree(np.zeros((0, 0)), 0, 0, 0)
+
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for dim in pa.compute.unique(batch.column("dim")).to_pylist():
                 part = batch.filter(pa.compute.equal(batch.column("dim"), dim))
                 x, good = unit_rows(part.column("v"))
-                found = [route(nodes, x) for nodes in forest.value.get(dim, [[]] * TREES)]
+                found = [tree.route(x) for tree in forest.value.get(dim, [plain] * TREES)]
                 row = np.concatenate([r for r, _ in found])
-                leaf = np.concatenate([leaf + t * STEP for t, (_, leaf) in enumerate(found)])
+                leaf = np.concatenate([leaf + (t << LEAF_BITS) for t, (_, leaf) in enumerate(found)])
                 row, leaf = row[good[row]], leaf[good[row]]
                 at = pa.array(row)
                 yield pa.RecordBatch.from_arrays([part.column("dim").take(at), pa.array(leaf), part.column("class").take(at), part.column("v").take(at)], ["dim", "leaf", "class", "v"])
@@ -240,11 +280,12 @@ def near_vectors(spark: SparkSession, rows: DataFrame, vec_id: str = "vec_id", e
 
     def compare(group: pa.Table) -> pa.Table:
         group = group.combine_chunks()
-        here = group.column("leaf")[0].as_py()
+        here, one, two = (group.column(c)[0].as_py() for c in ("leaf", "one", "two"))
         x, _ = unit_rows(group.column("v").combine_chunks())
         name = group.column("class").to_numpy()
-        places = _padded([np.array(p, np.int64) for p in group.column("places").to_pylist()])
-        count, tree = leaf_links(x, group.column("size").to_numpy(), places, here)
+        places = _padded(group.column("places").combine_chunks())
+        side = None if one == two else group.column("block").to_numpy() == two
+        count, tree = leaf_links(x, group.column("size").to_numpy(), places, here, side)
         some = np.flatnonzero(count)
         a = np.array([u for u, _ in tree], np.int64)
         b = np.array([v for _, v in tree], np.int64)
@@ -255,22 +296,32 @@ def near_vectors(spark: SparkSession, rows: DataFrame, vec_id: str = "vec_id", e
         ])
 
     dealt = classes.select("dim", "class", "v").mapInArrow(deal, f"dim int, leaf long, class long, v {vector}")
+    # leaves that stay large: fewer than one for each BIG_LEAF rows dealt
+    big = dealt.groupBy("dim", "leaf").agg(F.count("*").alias("n")).filter(F.col("n") > BIG_LEAF) if n > BIG_LEAF else spark.createDataFrame([], "dim int, leaf long, n long")
+    big = F.broadcast(written(spark, big.select("dim", "leaf", F.ceil(F.col("n") / BIG_LEAF).cast("int").alias("blocks")), "big"))
     # written, so that all leaves see the same parts even if a task runs twice
-    placed = written(spark, dealt.groupBy("dim", "leaf").applyInArrow(split, "class long, place long"), "places")
+    small = dealt.join(big, ["dim", "leaf"], "left_anti").groupBy("dim", "leaf").applyInArrow(split, "class long, place long")
+    whole = dealt.join(big, ["dim", "leaf"], "left_semi").select("class", F.shiftleft("leaf", PART_BITS).alias("place"))
+    placed = written(spark, small.unionByName(whole), "places")
     placed = placed.groupBy("class").agg(F.sort_array(F.collect_list("place")).alias("places"))  # some tens a class
-    leaf_of = lambda p: F.shiftright(p, STEP.bit_length() - 1)
+    leaf_of = lambda p: F.shiftright(p, PART_BITS)
     rows = classes.select("dim", "class", "size", "v").join(placed, "class")
     rows = rows.select("dim", "class", "size", "v", "places", F.explode(F.array_distinct(F.transform("places", leaf_of))).alias("leaf"))
     rows = rows.withColumn("places", F.filter("places", lambda p: leaf_of(p) <= F.col("leaf")))
-    found = written(spark, rows.groupBy("dim", "leaf").applyInArrow(compare, "a long, b long, n long"), "links")
+    # a large leaf's rows lie in one block each and meet every block
+    rows = rows.join(big, ["dim", "leaf"], "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    rows = rows.withColumn("block", F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rows = rows.select("dim", "leaf", F.least("block", "other").alias("one"), F.greatest("block", "other").alias("two"), "block", "class", "size", "v", "places")
+    found = written(spark, rows.groupBy("dim", "leaf", "one", "two").applyInArrow(compare, "a long, b long, n long"), "links")
     counts = found.filter("n IS NOT NULL").groupBy(F.col("a").alias("class")).agg(F.sum("n").alias("others"))
     roots = components(spark, found.filter("b IS NOT NULL").select("a", "b")).withColumnRenamed("node", "class")
-    named = classes.select("class", "size", "first_id").join(counts, "class", "left").join(roots, "class", "left")
-    named = written(spark, named.select("class", "first_id", (F.col("size") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"), F.coalesce("root", "class").alias("root")), "named")
+    named = classes.select("digest", "class", "size", "first_id").join(counts, "class", "left").join(roots, "class", "left")
+    named = written(spark, named.select("digest", "first_id", (F.col("size") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"), F.coalesce("root", "class").alias("root")), "named")
     least = named.groupBy("root").agg(F.min("first_id").alias("least_id"))
-    named = named.join(least, "root").select("class", "n_links", "least_id")
-    lone = base.filter("class IS NULL").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
-    linked = base.filter("class IS NOT NULL").select("vec_id", "class").join(named, "class").select("vec_id", "n_links", F.col("least_id").alias("component_id"))
+    named = named.join(least, "root").select("digest", "n_links", "least_id")
+    lone = base.filter("digest IS NULL").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
+    linked = base.filter("digest IS NOT NULL").select("vec_id", "digest").join(named, "digest").select("vec_id", "n_links", F.col("least_id").alias("component_id"))
     return linked.unionByName(lone).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))
 
 

@@ -95,9 +95,12 @@ def test_components_of_a_long_chain(spark):
 VECTORS = T.StructType([T.StructField("vec_id", T.LongType()), T.StructField("embedding", T.ArrayType(T.FloatType())), T.StructField("n_links", T.StringType()), T.StructField("class", T.StringType())])
 
 
-def test_vectors(spark, monkeypatch):
-    """Shards, leaves and copies; bad vectors link with nothing. Recall against brute force."""
-    monkeypatch.setattr(vectors, "ROUTED_ROWS", 64)
+@pytest.mark.parametrize(("routed", "sample", "big"), [(64, 32768, 1 << 14), (16, 256, 1 << 14), (64, 32768, 40)])
+def test_vectors(spark, monkeypatch, routed, sample, big):
+    """Shards, leaves and copies; deep levels below the sampled tops; large leaves in blocks. Recall against brute force."""
+    monkeypatch.setattr(vectors, "ROUTED_ROWS", routed)
+    monkeypatch.setattr(vectors, "SAMPLE_ROWS", sample)
+    monkeypatch.setattr(vectors, "BIG_LEAF", big)
     monkeypatch.setattr(vectors, "LEAF", 24)
     monkeypatch.setattr(vectors, "BLOCK", 16)
     rng = np.random.default_rng(1)
@@ -153,3 +156,29 @@ def test_vectors_of_mixed_lengths(spark, monkeypatch):
     assert [got[i]["n_links"] for i in range(len(values))] == [1] * len(values)
     last = len(values) - 1
     assert got[last]["component_id"] == 0 and all(got[i]["component_id"] == (i - 1) // 2 * 2 + 1 for i in range(1, last))
+
+
+def test_routed_leaves_stay_small():
+    """With a sample for two levels only, ten more levels go on halving the leaves; each vector has a leaf."""
+    x = np.random.default_rng(3).standard_normal((20000, 64))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    for deep, most in ((0, 8000), (5, 700)):
+        tree = vectors.Tree(x[:128], 2, deep, 1)
+        row, leaf = tree.route(x)
+        assert set(row.tolist()) == set(range(len(x))) and len(np.unique(np.stack([row, leaf]), axis=1).T) == len(row)
+        assert np.unique(leaf, return_counts=True)[1].max() <= most
+    crowd = x[:1] + np.random.default_rng(4).standard_normal((3000, 64)) * 1e-4
+    row, _ = vectors.Tree(crowd[:100], 2, 12, 1).route(crowd)
+    assert len(row) == len(crowd)  # a crowd that nothing parts is not copied at every level
+
+
+def test_recall_at_production_settings(spark):
+    rng = np.random.default_rng(9)
+    base = rng.standard_normal((1500, 64))
+    x = np.concatenate([base, *(base[rng.integers(0, 700, 1500)] + rng.standard_normal((1500, 64)) * s for s in (0.15, 0.22, 0.3))]).astype(np.float32)
+    got = {r["vec_id"]: r["n_links"] for r in vectors.near_vectors(spark, spark.createDataFrame([(i, v.tolist(), "n", "c") for i, v in enumerate(x)], VECTORS)).collect()}
+    u = x.astype(np.float64)
+    u /= np.linalg.norm(u, axis=1)[:, None]
+    links = (u @ u.T >= 0.95).sum() - len(u)
+    print("recall of links", sum(got.values()) / links, "of", links)
+    assert 0.97 * links <= sum(got.values()) <= links
