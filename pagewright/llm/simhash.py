@@ -7,7 +7,7 @@ node splits its fingerprints at the median Hamming distance from a vantage point
 the near side also takes the shell just beyond the boundary, as wide as the
 radius, so every close pair meets in some leaf (triangle inequality).
 
-The top of each tree is built on the driver from a bounded sample and only routes:
+The top of each tree is built on the driver from a bounded sample, goes on below that by shared vantage points, and only routes:
 each distinct fingerprint goes to its own shard and to those whose boundary it
 overlaps. The tree goes on growing inside each shard's task, until leaves are
 small enough to compare directly. A shard reports a spanning forest of its links,
@@ -33,7 +33,8 @@ RADIUS = 3
 SHINGLE = 3
 SEED = 42
 #: Distinct fingerprints that a shard aims at, and the least and the most that the driver samples for routing.
-#: A tree gets a level for each doubling of shards up to 2^14; its sample (8 MB at most) gets 64 rows a shard.
+#: A tree gets a level for each doubling of shards. Up to 2^14 shards its sample (8 MB at most) gets 64 rows a shard;
+#: levels below that have vantage points in common, and boundaries from the same sample.
 SHARD_ROWS, LEAST_SAMPLE, MOST_SAMPLE = 4096, 1 << 16, 1 << 20
 #: A leaf of at most so many is compared directly.
 LEAF = 384
@@ -102,13 +103,23 @@ def _split(half: np.ndarray, full: np.ndarray, turn: int) -> tuple[np.ndarray, n
     return None
 
 
-def routing_tree(sample: np.ndarray, side: int, depth: int) -> list[tuple[int, int, int, int]]:
-    """Nodes ``(vantage point, boundary, near child, far child)``; a child below 0 is shard ``-child - 1``."""
-    nodes: list[tuple[int, int, int, int]] = []
-    leaves = 0
+class Tree:
+    """Routing of one half: nodes ``(vantage point, boundary, near child, far child)`` from a sample (a child below 0
+    is shard ``-child - 1``), then ``deep`` levels whose vantage points all shards share, each with its own boundary."""
 
-    def grow(rows: np.ndarray, left: int, turn: int) -> int:
-        nonlocal leaves
+    def __init__(self, sample: np.ndarray, side: int, depth: int, deep: int):
+        self.nodes: list[tuple[int, int, int, int]] = []
+        self.shards: list[np.ndarray] = []
+        half = _half(sample, side)
+        self.points: list[np.uint64] = []
+        self.cuts = np.zeros((0, 0), np.int64)
+        if depth and len(half):
+            self._grow(half, depth, 1)
+            self.points = [half[(k * 7919 + 13) % len(half)] for k in range(deep)]
+            self.cuts = np.array([self._cuts(rows) for rows in self.shards], np.int64)
+        self.shards = []
+
+    def _grow(self, rows: np.ndarray, left: int, turn: int) -> int:
         if left and len(rows) >= 32:
             for attempt in range(4):
                 point = int(rows[(turn * 7919 + attempt * 104729) % len(rows)])
@@ -116,34 +127,45 @@ def routing_tree(sample: np.ndarray, side: int, depth: int) -> list[tuple[int, i
                 mu = int(np.partition(d, (len(d) - 1) // 2)[(len(d) - 1) // 2])
                 near, far = d <= mu + 1, d > mu
                 if near.sum() < 0.9 * len(d) and far.any():
-                    at = len(nodes)
-                    nodes.append((0, 0, 0, 0))
-                    nodes[at] = (point, mu, grow(rows[near], left - 1, 2 * turn + 1), grow(rows[far], left - 1, 2 * turn + 2))
+                    at = len(self.nodes)
+                    self.nodes.append((0, 0, 0, 0))
+                    self.nodes[at] = (point, mu, self._grow(rows[near], left - 1, 2 * turn + 1), self._grow(rows[far], left - 1, 2 * turn + 2))
                     return at
-        leaves += 1
-        return -leaves
-
-    grow(_half(sample, side), depth, 1)
-    return nodes
-
-
-def route(nodes: list[tuple[int, int, int, int]], half: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Rows and shards: each row's own shard and those whose boundary it overlaps."""
-    rows, shards = [], []
-    todo = [(0 if nodes else -1, np.arange(len(half)))]
-    while todo:
-        at, who = todo.pop()
-        if not len(who):
-            continue
-        if at < 0:
-            rows.append(who)
-            shards.append(np.full(len(who), -at - 1, np.int64))
-            continue
-        point, mu, near, far = nodes[at]
-        d = np.bitwise_count(half[who] ^ np.uint64(point))
-        todo += [(near, who[d <= mu + 1]), (far, who[d > mu])]
-    none = np.zeros(0, np.int64)
-    return np.concatenate([none, *rows]), np.concatenate([none, *shards])
+        self.shards.append(rows)
+        return -len(self.shards)
+
+    def _cuts(self, rows: np.ndarray) -> list[int]:
+        """The boundary of each deep level in a shard with these sampled rows; 64, which all are near to, where it would not part them."""
+        out = []
+        for point in self.points:
+            d = np.sort(np.bitwise_count(rows ^ point)).astype(np.int64)
+            mu = int(d[(len(d) - 1) // 2]) if len(d) else 16
+            out.append(mu if not len(d) or (d <= mu + 1).mean() < 0.9 else 64)
+        return out
+
+    def route(self, half: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Rows and shards: each row's own shard and those whose boundary it overlaps."""
+        rows, shards = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        todo = [(0 if self.nodes else -1, np.arange(len(half)))]
+        while todo:
+            at, who = todo.pop()
+            if not len(who):
+                continue
+            if at < 0:
+                rows.append(who)
+                shards.append(np.full(len(who), -at - 1, np.int64))
+                continue
+            point, mu, near, far = self.nodes[at]
+            d = np.bitwise_count(half[who] ^ np.uint64(point))
+            todo += [(near, who[d <= mu + 1]), (far, who[d > mu])]
+        row, top = np.concatenate(rows), np.concatenate(shards)
+        shard = top
+        for q, point in enumerate(self.points):
+            d, mu = np.bitwise_count(half ^ point)[row], self.cuts[top, q]
+            near, far = d <= mu + 1, d > mu
+            row, top, shard = (np.concatenate([c[near], c[far]]) for c in (row, top, 2 * shard))
+            shard[int(near.sum()) :] += 1
+        return row, shard
 
 
 # ---- inside a shard ----------------------------------------------------------
@@ -191,18 +213,19 @@ def links(spark: SparkSession, distinct: DataFrame) -> DataFrame:
     """``(a, b)``: links between different fingerprints that connect all that are within three bits."""
     n = distinct.count()
     shards = max(1, -(-n // SHARD_ROWS))
-    depth = max(0, min((shards - 1).bit_length(), (MOST_SAMPLE // 64 - 1).bit_length()))
+    levels = (shards - 1).bit_length()
+    depth = min(levels, max(0, (MOST_SAMPLE // 64 - 1).bit_length()))
     sample = np.zeros(0, np.uint64)
     if depth:
         got = first_by_hash(distinct.select("fp"), "fp", n, max(LEAST_SAMPLE, 64 << depth)).toArrow()
         sample = got.column("fp").to_numpy().view(np.uint64)
-    trees = [routing_tree(sample, side, depth) if depth else [] for side in (0, 1)]
+    trees = [Tree(sample, side, depth, levels - depth) for side in (0, 1)]
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             fp = batch.column("fp").to_numpy(zero_copy_only=False).view(np.uint64)
             for side in (0, 1):
-                rows, shard = route(trees[side], _half(fp, side))
+                rows, shard = trees[side].route(_half(fp, side))
                 yield pa.RecordBatch.from_arrays([pa.array(shard * 2 + side), pa.array(fp[rows].view(np.int64))], ["shard", "fp"])
 
     def find(group: pa.Table) -> pa.Table:

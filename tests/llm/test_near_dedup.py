@@ -35,8 +35,11 @@ def test_fingerprints(odd_texts):
 
 
 @pytest.mark.parametrize("dense", [False, True])
-def test_forest_finds_every_link(spark, monkeypatch, dense):
-    """Many shards and small leaves; the dense case is a crowd that no vantage point parts."""
+@pytest.mark.parametrize("sample", [1 << 20, 128])
+def test_forest_finds_every_link(spark, monkeypatch, dense, sample):
+    """Many shards and small leaves, with deep levels below a small sample; the dense case is a crowd that no vantage point parts."""
+    monkeypatch.setattr(simhash, "MOST_SAMPLE", sample)
+    monkeypatch.setattr(simhash, "LEAST_SAMPLE", min(sample, 1 << 16))
     monkeypatch.setattr(simhash, "SHARD_ROWS", 32)
     monkeypatch.setattr(simhash, "LEAF", 16)
     rng = random.Random(3)
@@ -56,6 +59,27 @@ def test_forest_finds_every_link(spark, monkeypatch, dense):
     assert len(set(zip(want, got))) == len(set(want)) == len(set(got))
 
 
+def test_shards_stay_small_and_keep_close_halves_together():
+    rng = np.random.default_rng(6)
+    fps = rng.integers(0, 1 << 63, 20000, np.uint64)
+    flipped = fps ^ (np.uint64(1) << rng.integers(0, 32, len(fps)).astype(np.uint64))
+    for deep, most in ((0, 12000), (6, 2500)):
+        tree = simhash.Tree(fps[:256], 0, 2, deep)
+        row, shard = tree.route(simhash._half(fps, 0))
+        assert np.unique(shard, return_counts=True)[1].max() <= most
+        row2, shard2 = tree.route(simhash._half(flipped, 0))
+        both = set(zip(row.tolist(), shard.tolist())) & set(zip(row2.tolist(), shard2.tolist()))
+        assert {r for r, _ in both} == set(range(len(fps)))
+
+
+def test_op8_fingerprints_as_hex(spark, documents, odd_texts, tmp_path):
+    documents(odd_texts).write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["doc_id"]: r for r in simhash.op8_simhash_near_dedup(spark, str(tmp_path)).collect()}
+    fps = [brute_fingerprint(t) if len(t or "") < 60000 else simhash.fingerprint_text(t.encode()) for t in odd_texts]
+    assert [got[i]["fingerprint"] for i in range(len(odd_texts))] == [f"{x:016x}" for x in fps]
+    assert [got[i]["component_id"] for i in range(len(odd_texts))] == brute_groups(fps)
+
+
 def test_routing_sample_is_that_of_a_full_sort(spark):
     df = spark.range(5000).withColumnRenamed("id", "k")
     ranked = [r["k"] for r in df.selectExpr("k", "xxhash64(k) AS h").orderBy("h").collect()]
