@@ -270,7 +270,7 @@ def near_vectors(spark: SparkSession, rows: DataFrame, vec_id: str = "vec_id", e
                 leaf = np.concatenate([leaf + (t << LEAF_BITS) for t, (_, leaf) in enumerate(found)])
                 row, leaf = row[good[row]], leaf[good[row]]
                 at = pa.array(row)
-                yield pa.RecordBatch.from_arrays([part.column("dim").take(at), pa.array(leaf), part.column("class").take(at), part.column("v").take(at)], ["dim", "leaf", "class", "v"])
+                yield pa.RecordBatch.from_arrays([part.column("dim").take(at), pa.array(leaf), part.column("class").take(at)], ["dim", "leaf", "class"])
 
     def split(group: pa.Table) -> pa.Table:
         group = group.combine_chunks()
@@ -295,12 +295,13 @@ def near_vectors(spark: SparkSession, rows: DataFrame, vec_id: str = "vec_id", e
             pa.table({"a": name[a], "b": name[b], "n": none}),
         ])
 
-    dealt = classes.select("dim", "class", "v").mapInArrow(deal, f"dim int, leaf long, class long, v {vector}")
+    dealt = written(spark, classes.select("dim", "class", "v").mapInArrow(deal, "dim int, leaf long, class long"), "dealt")
     # leaves that stay large: fewer than one for each BIG_LEAF rows dealt
-    big = dealt.groupBy("dim", "leaf").agg(F.count("*").alias("n")).filter(F.col("n") > BIG_LEAF) if n > BIG_LEAF else spark.createDataFrame([], "dim int, leaf long, n long")
+    big = dealt.groupBy("dim", "leaf").agg(F.count("*").alias("n")).filter(F.col("n") > BIG_LEAF)
     big = F.broadcast(written(spark, big.select("dim", "leaf", F.ceil(F.col("n") / BIG_LEAF).cast("int").alias("blocks")), "big"))
     # written, so that all leaves see the same parts even if a task runs twice
-    small = dealt.join(big, ["dim", "leaf"], "left_anti").groupBy("dim", "leaf").applyInArrow(split, "class long, place long")
+    small = dealt.join(big, ["dim", "leaf"], "left_anti").join(classes.select("class", "v"), "class")
+    small = small.select("dim", "leaf", "class", "v").groupBy("dim", "leaf").applyInArrow(split, "class long, place long")
     whole = dealt.join(big, ["dim", "leaf"], "left_semi").select("class", F.shiftleft("leaf", PART_BITS).alias("place"))
     placed = written(spark, small.unionByName(whole), "places")
     placed = placed.groupBy("class").agg(F.sort_array(F.collect_list("place")).alias("places"))  # some tens a class
