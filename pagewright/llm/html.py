@@ -22,9 +22,14 @@ from pyspark.sql import functions as F
 
 from .common import table, with_workers
 
-#: Comments, declarations, and tags with quoted attributes. A lone "<" is text.
-TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)", re.S)
-ATTRIBUTE = re.compile(r"([^\s=\"'/>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
+#: Comments, declarations, and tags with attributes. A lone "<" is text.
+TAG = re.compile(
+    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)"
+    # a quote opens a value only behind "=", elsewhere it is a plain sign
+    r"|<(/?)([a-zA-Z][^\s/>]*)((?:=\s*(?:\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))|[^>])*)(?:>|\Z)",
+    re.S,
+)
+ATTRIBUTE = re.compile(r"([^\s=\"'/>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>][^\s>]*)))?")
 WORD = re.compile(r"[a-z0-9]+")
 #: Class words that tell of a state of the page: no-sidebar, has-comments, with-ads, share-enabled. Fixed values.
 NEUTRAL = re.compile(r"(?<!\S)(?:(?:no|has|with|without)[-_]+\S+|\S+[-_]+(?:enabled|disabled))(?!\S)")
@@ -46,6 +51,8 @@ DROPPED_WORDS = frozenset(
 )
 
 
+#: Words that say where a part stands or what holds it. With dropped words alone beside them they mark it. Fixed values.
+PLACES = frozenset("bar block blocks box btn button buttons bottom center container content entry footer global group header holder icons inline inner item items left link links list lower main mobile module article page panel post row right section side site sticky text top upper widget wide wrap wrapper primary secondary unit slot zone area count form".split())
 #: Words that name what may wrap an article, and words of threads, which are long and never do. Fixed values.
 WRAPPERS = frozenset("content main article post entry story page body layout wrap wrapper container column text site app root".split())
 THREADS = frozenset("comment comments disqus reply replies respond discussion".split())
@@ -89,13 +96,14 @@ def _marked(tag: str, attributes: str) -> int:
     if not attributes or tag in ("html", "body", "article", "main"):
         return 0
     words: set[str] = set()
-    plain = True
     for m in ATTRIBUTE.finditer(attributes):
         if m[1].lower() in ("class", "id"):
-            value = (m[2] or m[3] or m[4] or "").lower()
-            plain = plain and DROPPED_WORDS.isdisjoint(WORD.findall(value))
-            words.update(WORD.findall(NEUTRAL.sub(" ", value)))
-    if plain or DROPPED_WORDS.isdisjoint(words):
+            for name in NEUTRAL.sub(" ", (m[2] or m[3] or m[4] or "").lower()).split():
+                parts = set(WORD.findall(name))
+                # share-price or legal-history name a thing of the article
+                if all(x in DROPPED_WORDS or x in PLACES or x in WRAPPERS or x.isdigit() for x in parts):
+                    words |= parts
+    if DROPPED_WORDS.isdisjoint(words):
         return 0
     return 2 if WRAPPERS.isdisjoint(words) or not THREADS.isdisjoint(words) else 1
 
@@ -104,6 +112,13 @@ def parse(page: str) -> Node:
     """The page's tree; text is kept as strings between child nodes, references undecoded."""
     root = at = Node("#root", None, False)
     pos, end = 0, len(page)
+    live: dict[str, int] = {}  # open elements by name, so that an end tag without one costs nothing
+
+    def close(down: Node, up: Node) -> None:
+        while down is not up:
+            live[down.tag] -= 1
+            down = down.parent
+
     while pos < end:
         m = TAG.search(page, pos)
         if not m:
@@ -118,6 +133,8 @@ def parse(page: str) -> Node:
             continue
         tag = m[2].lower()
         if m[1]:
+            if not live.get(tag):
+                continue
             up = at
             while up.parent and up.tag != tag:
                 if tag in INLINE and up.tag not in INLINE:  # a stray inline end closes no block
@@ -125,17 +142,20 @@ def parse(page: str) -> Node:
                     break
                 up = up.parent
             if up.parent:
+                close(at, up.parent)
                 at = up.parent
             continue
         if tag in ENDS_P:
             if at.block.tag == "p":
+                close(at, at.block.parent)
                 at = at.block.parent
         if tag in ("li", "dd", "dt", "td", "th", "tr", "option"):
             closes = {"li": ("li",), "dd": ("dd", "dt"), "dt": ("dd", "dt"), "td": ("td", "th"), "th": ("td", "th"), "tr": ("tr", "td", "th"), "option": ("option",)}[tag]
-            up = at
+            up = at if any(live.get(x) for x in closes) else root
             while up.parent and up.tag not in ("ul", "ol", "dl", "table", "tbody", "select", "body") and up.tag not in closes:
                 up = up.parent
             while up.tag in closes and up.parent:
+                close(at, up.parent)
                 at = up = up.parent
         node = Node(tag, at, at.dropped or _unwanted(tag, m[3], at.inside), 0 if at.dropped else _marked(tag, m[3]))
         at.items.append(node)
@@ -144,11 +164,14 @@ def parse(page: str) -> Node:
         if tag in RAW:
             stop = re.compile(rf"</{re.escape(tag)}[\s/>]", re.I).search(page, pos)
             if not stop:
+                if tag in ("noscript", "template"):  # never closed: what follows is page
+                    continue
                 break
-            close = page.find(">", stop.start())
-            pos = end if close < 0 else close + 1
+            after = page.find(">", stop.start())
+            pos = end if after < 0 else after + 1
             continue
         at = node
+        live[tag] = live.get(tag, 0) + 1
     return root
 
 
@@ -182,6 +205,18 @@ def _is_paragraph(node: Node) -> bool:
     return any((isinstance(x, str) and x.strip()) or (isinstance(x, Node) and x.tag in INLINE and x.n_text and not x.dropped) for x in node.items)
 
 
+def _is_menu(node: Node) -> bool:
+    """Whether a block is a list of links: three or more that make up most of its text."""
+    if node.tag in INLINE or node.tag in ("p", "h1", "h2", "h3", "h4", "h5", "h6") or node.n_link < 0.6 * node.n_text:
+        return False
+    n, todo = 0, [node]
+    while todo and n < 3:
+        x = todo.pop()
+        n += x.tag == "a"
+        todo += [y for y in x.items if isinstance(y, Node) and not y.dropped]
+    return n >= 3
+
+
 def _set_dropped(node: Node, dropped: list[Node]) -> None:
     """Drop a branch; the nodes that were not dropped yet are added to ``dropped``."""
     todo = [node]
@@ -276,7 +311,16 @@ def best(root: Node) -> list[Node]:
             return True
         return top.tag not in CONTAINERS and x.n_text > 0 and links < 0.25
 
-    return [x for x in peers if alike(x)]
+    kept = [x for x in peers if alike(x)]
+    todo = list(kept)
+    while todo:  # without the lists of links in it
+        for x in todo.pop().items:
+            if isinstance(x, Node) and not x.dropped and x.tag not in INLINE:
+                if 2 * x.n_text < top.n_text and _is_menu(x):
+                    x.dropped = True
+                else:
+                    todo.append(x)
+    return kept
 
 
 def blocks(nodes: list[Node]) -> list[str]:
@@ -318,7 +362,11 @@ def main_text(page: str | None) -> str:
 
 
 def extract(spark: SparkSession, pages: DataFrame) -> DataFrame:
-    """``(page_id, url, text, n_chars)``, one row per row of ``pages``; n_chars counts code points. Other columns are ignored."""
+    """``(page_id, url, text, n_chars)``, one row per row of ``pages``; n_chars counts code points.
+
+    Null, empty and textless pages give empty text, repeated rows repeated results, an empty table
+    an empty result; pages of any length are read whole, one at a time. Other columns are ignored.
+    """
     with_workers(spark)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
