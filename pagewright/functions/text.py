@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from bisect import bisect_right
 
 import pyarrow as pa
 import regex
@@ -136,62 +137,58 @@ MARKUP = [re.compile(p, re.S) for p in (
     r"\]\((?:[^()\n]|\([^()\n]*\))*\)",
     r"\\(?:[A-Za-z@]+|.)",
 )]
-_FENCE, _FENCE_END = re.compile(r"[ \t]{0,3}(`{3,}|~{3,})"), re.compile(r"[ \t]{0,3}(`+|~+)[ \t]*\Z")
+#: Where a line begins, and a whole fenced block: its mark may not be given up in part, its end is as long a mark or the text's end.
+_LINE = r"(?<![^\n\r\x0b\x0c\x1c-\x1e\x85  ])[ \t]{0,3}"
+_FENCED = re.compile(rf"{_LINE}(?P<mark>(?P<sign>[`~])(?P=sign){{2,}}+)(?s:.*?)(?:{_LINE}(?P=mark)(?P=sign)*+[ \t]*(?:\r\n|[\r\n]|\Z)|\Z)")
 _SUSPECT = re.compile(r"[<&!\]\\`~]")
 #: A blank as long in UTF-8 as the sign it hides; none is a letter, mark or number. Fixed values.
 _BLANKS = [" ", "\u00a0", "\u2003", "\U0001f600"]
 
 
-def hidden(text: str) -> bytearray:
-    """One byte per character, 1 where markup or code hides it."""
-    mask = bytearray(len(text))
-
-    def hide(a: int, b: int) -> None:
-        mask[a:b] = b"\1" * (b - a)
-
-    at, fence, mark = 0, -1, ""
-    for line in text.splitlines(keepends=True):
-        body = line.rstrip("\r\n")
-        if fence < 0:
-            if m := _FENCE.match(body):
-                fence, mark = at, m[1]
-        elif (m := _FENCE_END.match(body)) and m[1][0] == mark[0] and len(m[1]) >= len(mark):
-            hide(fence, at + len(line))
-            fence = -1
-        at += len(line)
-    if fence >= 0:
-        hide(fence, len(text))
-    for pattern in MARKUP:
-        for m in pattern.finditer(text):
-            hide(*m.span())
-    # inline code: a visible run of backticks pairs with the next visible run as long
-    runs = [(m.start(), m.end()) for m in re.finditer(r"`+", text)]
-    by_size: dict[int, list[int]] = {}
-    for k, (a, b) in enumerate(runs):
-        by_size.setdefault(b - a, []).append(k)
-    place = {k: n for those in by_size.values() for n, k in enumerate(those)}
-    k = 0
-    while k < len(runs):
-        a, b = runs[k]
-        if not mask[a]:
-            those = by_size[b - a]
-            n = place[k] + 1
-            while n < len(those) and mask[runs[those[n]][0]]:
-                n += 1
-            if n < len(those):
-                k = those[n]
-                hide(a, runs[k][1])
-        k += 1
-    return mask
+def hidden(text: str) -> list[tuple[int, int]]:
+    """The stretches that markup or code hides, disjoint and in order."""
+    found = merged([m.span() for pattern in (_FENCED, *MARKUP) for m in pattern.finditer(text)])
+    if "`" not in text:
+        return found
+    starts = [a for a, _ in found]
+    ticks = [m.span() for m in re.finditer("`+", text)]
+    open_ = [t for t in ticks if not (k := bisect_right(starts, t[0])) or found[k - 1][1] <= t[0]]
+    # from the right: the next visible run of the same length, which is where code that starts at a run ends
+    ahead: dict[int, int] = {}
+    ends = []
+    for a, b in reversed(open_):
+        ends.append(ahead.get(b - a))
+        ahead[b - a] = b
+    code, done = [], 0
+    for (a, _), end in zip(open_, reversed(ends), strict=True):
+        if a >= done and end is not None:
+            code.append((a, end))
+            done = end
+    return merged(found + code)
+
+
+def merged(stretches: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """The union of stretches, in order."""
+    out: list[tuple[int, int]] = []
+    for a, b in sorted(stretches):
+        if out and a <= out[-1][1]:
+            out[-1] = out[-1][0], max(b, out[-1][1])
+        else:
+            out.append((a, b))
+    return out
 
 
 def blanked(text: str) -> str:
     """The text with every hidden sign replaced by a blank of the same length in characters and bytes."""
     if not _SUSPECT.search(text):
         return text
-    mask = hidden(text)
-    size = lambda c: 0 if c < "\x80" else 1 if c < "\u0800" else 2 if c < "\U00010000" else 3
-    return "".join(_BLANKS[size(c)] if h else c for c, h in zip(text, mask, strict=True))
+    out, at = [], 0
+    for a, b in hidden(text):
+        gone = text[a:b]
+        gone = " " * len(gone) if gone.isascii() else "".join(_BLANKS[len(c.encode()) - 1] for c in gone)
+        out += [text[at:a], gone]
+        at = b
+    return "".join([*out, text[at:]])
 
 
 _CLUSTER, _RUN, _MARK = regex.compile(CLUSTER), regex.compile(RUN), regex.compile(r"\p{M}")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -155,13 +156,38 @@ def repair_pairs(occurrences: DataFrame) -> DataFrame:
 def edit_operations(pairs: DataFrame) -> DataFrame:
     """``(operation, old, new, n)`` of the edits that turn observed into replacement, by sequence alignment of each distinct pair."""
 
-    @F.udf("array<struct<operation:string,old:string,new:string>>")
-    def edits(a: str, b: str) -> list[tuple[str, str, str]]:
+    kind = "array<struct<operation:string,old:string,new:string>>"
+
+    @F.arrow_udf(kind)
+    def edits(before: pa.Array, after: pa.Array) -> pa.Array:
         import difflib
 
-        return [(op, a[i:j], b[k:m]) for op, i, j, k, m in difflib.SequenceMatcher(None, a or "", b or "", autojunk=False).get_opcodes() if op != "equal"]
+        out = []
+        for a, b in zip(before.to_pylist(), after.to_pylist(), strict=True):
+            found = difflib.SequenceMatcher(None, a or "", b or "", autojunk=False).get_opcodes()
+            out.append([{"operation": op, "old": a[i:j], "new": b[k:m]} for op, i, j, k, m in found if op != "equal"])
+        return pa.array(out, pa.list_(pa.struct([("operation", pa.string()), ("old", pa.string()), ("new", pa.string())])))
+
+    distinct = pairs.groupBy("observed", "replacement").agg(F.sum("n").alias("n")).filter("replacement IS NOT NULL")
+    return distinct.select("n", F.explode(edits("observed", "replacement")).alias("e")).groupBy("e.operation", "e.old", "e.new").agg(F.sum("n").alias("n"))
+
+
+def pair_order() -> list[Column]:
+    """Repair pairs: most frequent first."""
+    return [F.desc("n"), F.col("observed"), F.col("replacement")]
+
 
-    return pairs.select("n", F.explode(edits("observed", "replacement")).alias("e")).groupBy("e.operation", "e.old", "e.new").agg(F.sum("n").alias("n"))
+def signal_histogram(occurrences: DataFrame) -> DataFrame:
+    """``(book, key, signal, n)``: the signals of each book's forms."""
+    return occurrences.select("book", "key", F.explode("signals").alias("signal")).groupBy("book", "key", "signal").agg(F.count("*").alias("n"))
+
+
+def form_details(occurrences: DataFrame) -> DataFrame:
+    """``(key, signals, repair_states)`` of each form: the union of its signals, and its repair states with their numbers."""
+    tags = occurrences.select("key", F.explode("signals").alias("signal")).distinct().groupBy("key").agg(F.concat_ws(",", F.array_sort(F.collect_list("signal"))).alias("signals"))
+    entry = F.concat_ws("=", "repair_state", F.col("n").cast("string"))
+    states = occurrences.groupBy("key", "repair_state").agg(F.count("*").alias("n")).groupBy("key").agg(F.concat_ws(",", F.array_sort(F.collect_list(entry))).alias("repair_states"))
+    return tags.join(states, "key")  # a form has a handful of signals and states
 
 
 # ---- investigation routes ----------------------------------------------------------
@@ -223,3 +249,27 @@ def route_form_groups(classified: DataFrame) -> DataFrame:
 def form_examples(occurrences: DataFrame, n: int = 3) -> DataFrame:
     """The first occurrences of each form, in book and page order."""
     return first_examples(occurrences, ["key"], ["book", "order"], n)
+
+
+def route_details(classified: DataFrame) -> DataFrame:
+    """``(route, key, dispositions, books)``: disposition histogram and books of each route's forms."""
+    entry = F.concat_ws("=", "disposition", F.col("n").cast("string"))
+    part = classified.groupBy("route", "key", "disposition").agg(F.count("*").alias("n"), F.collect_set("book").alias("b"))
+    return part.groupBy("route", "key").agg(
+        F.concat_ws(",", F.array_sort(F.collect_list(entry))).alias("dispositions"), F.concat_ws(",", F.array_sort(F.array_distinct(F.flatten(F.collect_list("b"))))).alias("books"),
+    )
+
+
+def route_examples(classified: DataFrame, n: int = 3) -> DataFrame:
+    """The first occurrences of each route's forms, in report order."""
+    return first_examples(classified, ["route", "key"], ["book", "page", "start_byte", "id"], n)
+
+
+def duplicate_suffixes(classified: DataFrame) -> DataFrame:
+    """One row: repairs that may repeat an ending which stands behind their span."""
+    return classified.agg(F.count_if("duplicate_suffix").alias("possible_duplicate_suffix_repairs"))
+
+
+def group_order() -> list[Column]:
+    """Route groups: most pending, most occurrences, route, key."""
+    return [F.desc("pending"), F.desc("n"), F.col("route"), F.col("key")]

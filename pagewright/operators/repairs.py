@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -65,7 +67,7 @@ def repair_totals(applied: DataFrame, edits: DataFrame) -> DataFrame:
 
 
 def edit_guards(pages: DataFrame, edits: DataFrame) -> list[DataFrame]:
-    """What forbids executing: wrong bytes, missing proposals, overlaps."""
+    """What forbids executing: wrong bytes, missing proposals, overlaps, replacements that repeat a contraction's ending."""
     at = edits.select("page", "id", "start_byte", "end_byte", "observed", "proposed").join(pages.select("page", "text"), "page", "left")
     seen = T.byte_slice(F.col("text"), F.col("start_byte"), F.col("end_byte"))
     return [
@@ -73,9 +75,15 @@ def edit_guards(pages: DataFrame, edits: DataFrame) -> list[DataFrame]:
         violations(at, "observed bytes do not match", "id", ~F.coalesce(seen == F.col("observed"), F.lit(False))),
         violations(at, "no proposal", "id", F.col("proposed").isNull()),
         violations(overlap_conflicts(edits), "overlapping approved findings", "id"),
+        violations(boundary_violations(at), "replacement repeats what follows", "id"),
     ]
 
 
+def edited_pages(*stages: DataFrame) -> DataFrame:
+    """``(page)``: every page that an edit of some stage touched, once."""
+    return reduce(DataFrame.unionByName, (s.select("page") for s in stages)).distinct()
+
+
 def provenance_violations(derived: DataFrame, ledger: DataFrame) -> DataFrame:
     """Ledger rows that the derived pages do not bear out: order, lengths, replacement bytes, source hash."""
     placed = derived_offsets(ledger).join(derived.select("page", "derived"), "page", "left")

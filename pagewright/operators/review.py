@@ -50,6 +50,45 @@ def merge(source: DataFrame, batches: DataFrame, writable: tuple[str, ...]) -> D
     return joined.select(*(F.col(f"_{c}").alias(c) if c in writable else F.col(c) for c in source.columns))
 
 
+def join_all(source: DataFrame, proposals: DataFrame, verdicts: DataFrame) -> tuple[DataFrame, DataFrame, list[DataFrame]]:
+    """Both stages of the handoff: findings with proposals, those with verdicts, and what is wrong with either batch.
+
+    Verdicts are checked against the findings as proposed, so a verifier cannot change a proposal.
+    """
+    proposed = merge(source, proposals, PROPOSAL_FIELDS)
+    reviewed = merge(proposed, verdicts, REVIEW_FIELDS)
+    return proposed, reviewed, [merge_guards(source, proposals, PROPOSAL_FIELDS), merge_guards(proposed, verdicts, REVIEW_FIELDS), unreviewed(verdicts)]
+
+
+def lexicon_guards(entries: DataFrame) -> DataFrame:
+    """What is wrong with lexicon ``entries(word, finding_id, source_report_sha256, source_scans_sha256, note)``: malformed ones and repeated keys."""
+    blank = [F.coalesce(F.col(c), F.lit("")) == "" for c in ("finding_id", "source_report_sha256", "source_scans_sha256")]
+    bad = ~T.valid_word(F.col("word")) | blank[0] | blank[1] | blank[2] | (F.trim(F.coalesce("note", F.lit(""))) == "")
+    good = entries.filter(T.valid_word(F.col("word"))).withColumn("key", T.canonical("word"))
+    return violations(entries, "malformed entry", F.coalesce("word", F.lit("")), bad).unionByName(violations(duplicates(good, "key"), "duplicate word", "key"))
+
+
+def override_rollback(findings: DataFrame, overrides: DataFrame, admitted: DataFrame) -> DataFrame:
+    """Admissions ``(finding_id, word)`` that findings with ``overrides`` put over them no longer bear out; if any, the overrides are undone."""
+    after = effective_review(findings, overrides).select(F.col("id").alias("finding_id"), "observed", "proposed", "status")
+    both = admitted.select("finding_id", "word").join(after, "finding_id", "left")
+    key = T.canonical("word")
+    observed = (key == T.canonical("observed")) & F.col("proposed").isNull() & F.col("status").isNull()
+    corrected = (F.col("status") == "approved") & (key == T.canonical("proposed"))
+    return violations(both, "admission loses its evidence", "finding_id", ~F.coalesce(observed | corrected, F.lit(False)))
+
+
+def stale(recorded: DataFrame, now: DataFrame) -> DataFrame:
+    """Snapshots ``(name, sha256)`` that changed or went since they were recorded."""
+    both = recorded.join(now.select("name", F.col("sha256").alias("_now")), "name", "left")
+    return violations(both, "stale snapshot", "name", ~F.col("sha256").eqNullSafe(F.col("_now")))
+
+
+def group_order() -> list[Column]:
+    """Form groups in a reviewer's order: most occurrences, most suggestions, key."""
+    return [F.desc("n"), F.desc("suggested"), F.col("key")]
+
+
 def review_exceptions(merged: DataFrame) -> DataFrame:
     """Findings that are not approved."""
     return merged.filter(~F.col("status").eqNullSafe("approved"))

@@ -68,3 +68,20 @@ def extract_lexical(findings: DataFrame) -> DataFrame:
     """Findings with an unrecognised token, with empty slots for the proposer."""
     out = findings.filter(F.array_contains("triggers", "unrecognized_token"))
     return out.withColumn("proposal_note", F.lit(None).cast("string")).withColumn("lexicon_suggestion", F.lit(None).cast("boolean"))
+
+
+def lexical_guards(findings: DataFrame, lexicon_sha256: str | None) -> list[DataFrame]:
+    """What forbids ``extract_lexical``: no lexicon on record, findings without an offset or with a proposal."""
+    from .guards import violations
+
+    asked = findings.filter(F.array_contains("triggers", "unrecognized_token"))
+    return [
+        violations(findings.limit(1), "no lexicon recorded", F.lit("lexicon_sha256"), F.lit(not lexicon_sha256)),
+        violations(asked, "no offset", "id", F.col("start_byte").isNull()),
+        violations(asked, "proposal already present", "id", F.col("proposed").isNotNull()),
+    ]
+
+
+def findings_order() -> list[Column]:
+    """Findings in the order of a report: by page, start (page findings first), rule, block and id."""
+    return [F.col("page"), F.coalesce("start_byte", F.lit(-1)), F.col("rule"), F.coalesce(F.col("block_id").cast("string"), F.lit("None")), F.col("id")]

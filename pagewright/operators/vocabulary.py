@@ -67,6 +67,37 @@ def unrecognized_tokens(found: DataFrame, words: DataFrame, names: DataFrame | N
     return found.join(forms.join(recognized_forms(forms, words, names).select("observed"), "observed", "left_anti"), "observed")
 
 
+def unknown_in(spark: SparkSession, pages: DataFrame, words: DataFrame, plain: bool = False, limit: int = BROADCAST_WORDS) -> DataFrame:
+    """Unknown tokens of ``pages(page, text, ...)`` with their key and the pages' other columns.
+
+    Up to ``limit`` known words travel to the workers, and one pass over the texts finds, keys and looks
+    up tokens without a join; a longer list is joined by distinct forms, see ``unrecognized_tokens``.
+    """
+    other = [c for c in pages.columns if c not in ("page", "text")]
+    listed = words.select("key").distinct().limit(limit + 1).collect()
+    if len(listed) > limit:
+        found = unrecognized_tokens(tokens(pages, plain), words)
+        return found.join(pages.select("page", *other), "page") if other else found
+    known = spark.sparkContext.broadcast(frozenset(r["key"] for r in listed))  # bounded above
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key = lru_cache(1 << 16)(T.canonical_of)
+        for batch in batches:
+            columns: list[list] = [[] for _ in range(8)]
+            for i, text in enumerate(batch.column("text").to_pylist()):
+                for j, run in enumerate(T.letter_runs(text or "", plain)):
+                    k = key(run[4])
+                    if k not in known.value:
+                        for c, x in zip(columns, (i, j, *run, k), strict=True):
+                            c.append(x)
+            at = pa.array(columns[0], pa.int64())
+            kinds = [pa.int32()] * 5 + [pa.string()] * 2
+            yield pa.RecordBatch.from_arrays([*(batch.column(c).take(at) for c in ("page", *other)), *map(pa.array, columns[1:], kinds)], ["page", *other, "ordinal", "start", "end", "start_byte", "end_byte", "observed", "key"])
+
+    kept = ", ".join(f"`{c}` {pages.schema[c].dataType.simpleString()}" for c in ("page", *other))
+    return pages.select("page", "text", *other).mapInArrow(run, f"{kept}, ordinal int, start int, end int, start_byte int, end_byte int, observed string, key string")
+
+
 def inventory(unknown: DataFrame) -> DataFrame:
     """``(key, word, n, first_id, last_id)`` by form: first spelling and number; ``order`` ranks occurrences.
 

@@ -12,7 +12,10 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import corpus, vocabulary
+from ..session import written
 
+#: Room for a page's tokens in the order of all tokens.
+PAGE_STEP = 1 << 32
 FAITHFUL_NOTE = "SOURCE_FAITHFUL_NONLEXICAL_VERIFIED: checked against the scan"
 
 
@@ -43,12 +46,11 @@ def words(spark: SparkSession, sf: str, least: int = 4) -> DataFrame:
     return vocabulary.known_words(table(spark, sf, "benchmark"), least)
 
 
-def unknown(spark: SparkSession, sf: str, plain: bool = True) -> DataFrame:
+def unknown(spark: SparkSession, sf: str, plain: bool = False) -> DataFrame:
     """Unknown tokens of documents with book, id and order."""
-    docs = documents(spark, sf)
-    found = vocabulary.unrecognized_tokens(vocabulary.tokens(docs, plain), words(spark, sf)).join(docs.select("page", "book"), "page")
+    found = vocabulary.unknown_in(spark, documents(spark, sf), words(spark, sf), plain)
     name = F.concat_ws(":", F.col("page").cast("string"), F.lit("unrecognized_token"), F.col("start_byte").cast("string"))
-    return found.withColumn("id", name).withColumn("order", F.col("page") * 1_000_000 + F.col("ordinal"))
+    return found.withColumn("id", name).withColumn("order", F.col("page") * PAGE_STEP + F.col("ordinal"))
 
 
 def findings(spark: SparkSession, sf: str) -> DataFrame:
@@ -82,7 +84,7 @@ def decisions(stated: DataFrame) -> DataFrame:
 
 def occurrences(spark: SparkSession, sf: str) -> DataFrame:
     """Everything the corpus analytics read: state, disposition and signals of each finding."""
-    rows = findings(spark, sf)
+    rows = written(spark, findings(spark, sf), "findings")  # read three times below
     out = corpus.load_books(rows, decisions(corpus.effective_state(rows)))
     # the words are Latin by construction, so no script test is needed
     return out.withColumn("signals", corpus.signals(F.col("observed"), F.col("key"), F.col("before"), F.col("after"), F.lit(True), F.lit(False)))
@@ -93,13 +95,22 @@ def reviews(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     from ..operators import spans
 
     found = spans.whitespace_findings(corrupted(spark, sf)).filter("proposed IS NOT NULL").select("id", "page", "start_byte", "end_byte", "observed", "proposed")
-    source = found.withColumn("position", F.col("page") * 1_000_000 + F.col("start_byte")).withColumn("status", F.lit(None).cast("string")).withColumn("note", F.lit(None).cast("string"))
+    source = found.withColumn("position", F.col("page") * PAGE_STEP + F.col("start_byte")).withColumn("status", F.lit(None).cast("string")).withColumn("note", F.lit(None).cast("string"))
     labels = table(spark, sf, "labels").groupBy(F.col("doc_id").alias("page")).agg(F.max("quality").alias("q"))
     done = source.drop("status", "note").join(labels, "page", "left")
     done = done.withColumn("status", F.when(F.col("q") == 1, "approved")).withColumn("note", F.when(F.coalesce("q", F.lit(0)) != 1, "looked at")).drop("q")
     return source, done.withColumn("file", F.col("page") % 4).withColumn("ordinal", F.col("position"))
 
 
+def tagged(spark: SparkSession, sf: str) -> DataFrame:
+    """Unknown tokens as a report's findings: rule and triggers by page, a block on some pages."""
+    rows = unknown(spark, sf).select("id", "page", "start_byte", "observed", "key", "order")
+    both, upper = F.array(F.lit("lower_upper"), F.lit("unrecognized_token")), F.array(F.lit("lower_upper"))
+    triggers = F.when(F.col("page") % 4 == 0, both).when(F.col("page") % 7 == 0, upper).otherwise(F.array(F.lit("unrecognized_token")))
+    rows = rows.withColumn("triggers", triggers).withColumn("rule", F.element_at("triggers", 1)).withColumn("proposed", F.lit(None).cast("string"))
+    return rows.withColumn("block_id", F.when(F.col("page") % 3 == 0, F.lit("7")))
+
+
 # ---- the same in SQL -------------------------------------------------------------
 
 KEY = "replace(lower(nfc_normalize({0})), 'ß', 'ss')"
@@ -129,9 +140,12 @@ SQL_UNKNOWN = rf"""
 docs AS (SELECT doc_id AS page, source AS book, text FROM documents),{sql_spans("tokens", "docs", r"[\p{L}\p{M}]{4,}", "page, book")},
 words AS (SELECT DISTINCT {KEY.format("w")} AS key FROM (SELECT unnest(regexp_extract_all(text, '[\p{{L}}\p{{M}}]{{4,}}')) AS w FROM benchmark)),
 keyed AS (SELECT *, {KEY.format("observed")} AS key FROM tokens),
-unknown AS (SELECT book, page, i - 1 AS ordinal, page * 1000000 + i - 1 AS ord, page || ':unrecognized_token:' || start_byte AS id, observed, key, start, start_byte, start_byte + strlen(observed) AS end_byte
+unknown AS (SELECT book, page, i - 1 AS ordinal, page * 4294967296 + i - 1 AS ord, page || ':unrecognized_token:' || start_byte AS id, observed, key, start, start_byte, start_byte + strlen(observed) AS end_byte
   FROM keyed WHERE key NOT IN (SELECT key FROM words))"""
 
+SQL_TAGGED = f"""{SQL_UNKNOWN},
+tagged AS (SELECT *, CASE WHEN page % 4 = 0 OR page % 7 = 0 THEN 'lower_upper' ELSE 'unrecognized_token' END AS rule, page % 4 = 0 OR page % 7 <> 0 AS lexical, CASE WHEN page % 3 = 0 THEN '7' ELSE 'None' END AS block FROM unknown)"""
+
 SQL_LEXICAL = f"""{SQL_UNKNOWN},
 odd AS (SELECT * REPLACE (CASE ordinal % 9 WHEN 0 THEN 'didnt' WHEN 1 THEN observed || '7' WHEN 2 THEN 'XIVI' WHEN 3 THEN 'doesn' ELSE observed END AS observed,
     CASE ordinal % 9 WHEN 0 THEN 'didnt' WHEN 1 THEN key || '7' WHEN 2 THEN 'xivi' WHEN 3 THEN 'doesn' ELSE key END AS key), (page * 31 + ordinal) % 12 AS m, page + ordinal AS s FROM unknown),
@@ -163,5 +177,12 @@ routed AS (SELECT *, CASE
     WHEN split AND approved AND replace(lower(replacement), '’', '''') = lower(observed) || '''t' THEN 'repair_span_safety_audit' WHEN split THEN 'tokenizer_boundary_experiment' WHEN approved THEN 'existing_verified_repair_candidate'
     WHEN disposition <> '{corpus.PENDING}' THEN 'previously_triaged' WHEN list_contains(signals, 'contraction_like') AND contains(note, 'without an apostrophe') THEN 'book_scoped_recognition_experiment'
     WHEN repair_state = 'source_faithful_nonlexical' THEN 'source_faithful_nonlexical_candidate' WHEN starts_with(proposal_note, 'SCAN_BLOCKED:') OR starts_with(proposal_note, 'SCAN_UNRESOLVED:') THEN 'targeted_source_inspection'
-    WHEN contains(note, 'proper name') OR contains(note, 'technical term') THEN 'lexical_coverage_experiment' ELSE 'unclassified_review_candidate' END AS route
+    WHEN contains(note, 'proper name') OR contains(note, 'technical term') THEN 'lexical_coverage_experiment' ELSE 'unclassified_review_candidate' END AS route,
+    coalesce(split AND approved AND replace(lower(replacement), '’', '''') = lower(observed) || '''t', false) AS duplicate_suffix,
+    list_filter([CASE WHEN split THEN 'exact_contraction_prefix_span' END, CASE WHEN list_contains(signals, 'contraction_like') THEN 'contraction_like_spelling' END,
+      CASE WHEN list_contains(signals, 'adjacent_apostrophe') THEN 'adjacent_apostrophe' END, CASE WHEN contains(note, 'proper name') THEN 'agent_note_mentions_proper_name' END,
+      CASE WHEN contains(note, 'technical term') THEN 'agent_note_mentions_technical_term' END,
+      CASE WHEN list_contains(signals, 'contraction_like') AND contains(note, 'without an apostrophe') THEN 'verifier_note_claims_printed_without_apostrophe' END,
+      CASE WHEN starts_with(proposal_note, 'SCAN_') THEN 'proposer_note_' || lower(split_part(proposal_note, ':', 1)) END,
+      CASE WHEN repair_state = 'source_faithful_nonlexical' THEN 'structured_source_faithful_nonlexical' WHEN approved THEN 'structured_approved_repair_candidate' END], lambda x: x IS NOT NULL) AS clues
   FROM (SELECT *, observed = 'doesn' AND regexp_matches(after, '^[''’]t([^a-z]|$)') AS split, repair_state IN {_approved} AS approved FROM tagged))"""

@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 
 from ..functions import text as X
 from ..operators import corpus, pages, repairs, review, spans, vocabulary
-from ..session import with_workers
+from ..session import positions, with_workers
 from . import fixtures as fx
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -96,13 +96,17 @@ def flatten_text(spark, sf):
     return fx.table(spark, sf, "pages").select("page_id", F.md5(X.flatten_text(F.col("html"))).alias("flat_md5"))
 
 
-_shown = r"""regexp_replace(regexp_replace(regexp_replace(html, '<!--.*?-->', ' ', 'gs'), '</?[A-Za-z][A-Za-z0-9:-]*([^"''<>]|"[^"]*"|''[^'']*'')*>', ' ', 'gs'), '&(#[0-9]+|#x[0-9a-fA-F]+|[A-Za-z][A-Za-z0-9]+);', ' ', 'g')"""
+_clean = "regexp_replace(text, '[^A-Za-z0-9 ]', ' ', 'g')"
 
 
-@query(rf"SELECT page_id, length(regexp_replace({_shown}, '\s+', '', 'g')) AS n_visible FROM pages")
+@query(f"""SELECT doc_id AS page, md5(repeat(' ', 13) || c || repeat(' ', 4) || ' ' || repeat(' ', 8) || ' ' || repeat(' ', 5) || '{{' || c || '}} [' || c || repeat(' ', 9) || ' ' || repeat(' ', length(c) + 2) || ' end' || chr(10)
+ || repeat(' ', length(c) + 9) || 'after ' || repeat(' ', length(c) + 9)) AS visible_md5 FROM (SELECT doc_id, {_clean} AS c FROM documents)""")
 def visible_text(spark, sf):
-    shown = F.regexp_replace(X.visible_text("html"), r"(?U)[\s\x1c-\x1f]+", "")
-    return fx.table(spark, sf, "pages").select("page_id", F.length(shown).alias("n_visible"))
+    """What tags, entities, commands, link targets, inline code, a fenced block and a comment leave of the documents' words."""
+    c = F.regexp_replace("text", "[^A-Za-z0-9 ]", " ")
+    parts = ['<b class="x">', c, "</b> &eacute; \\emph{", c, "} [", c, "](target) `", c, "` end\n```\n", c, "\n```\nafter <!-- ", c, " -->"]
+    page = F.concat(*(F.lit(p) if isinstance(p, str) else p for p in parts))
+    return fx.documents(spark, sf).select("page", F.md5(X.visible_text(page)).alias("visible_md5"))
 
 
 # ---- repairs -----------------------------------------------------------------------
@@ -259,14 +263,14 @@ def top_recognized_forms(spark, sf):
     return vocabulary.top_recognized(fx.unknown(spark, sf), _other_words(spark, sf))
 
 
-_names = rf"""WITH cells AS (SELECT doc_id * 1000000 + i AS ord, w AS name FROM (SELECT doc_id, unnest(parts) AS w, generate_subscripts(parts, 1) AS i FROM (SELECT doc_id, regexp_extract_all(text, '[^ \n]+') AS parts FROM documents))),
+_names = rf"""WITH cells AS (SELECT doc_id * 4294967296 + i AS ord, w AS name FROM (SELECT doc_id, unnest(parts) AS w, generate_subscripts(parts, 1) AS i FROM (SELECT doc_id, regexp_extract_all(text, '[^ \n]+') AS parts FROM documents))),
 picked AS (SELECT *, {fx.KEY.format("name")} AS key FROM cells WHERE regexp_full_match(name, '\p{{Lu}}[\p{{L}}\p{{M}}]{{3,}}'))"""
 
 
 @query(f"{_names} SELECT arg_min(name, ord) AS name, key FROM picked GROUP BY key")
 def name_list_prepare(spark, sf):
     cells = fx.documents(spark, sf).select("page", F.posexplode(F.regexp_extract_all("text", F.lit(r"[^ \n]+"), F.lit(0))).alias("i", "value"))
-    return vocabulary.prepare_names(cells.select((F.col("page") * 1_000_000 + F.col("i")).alias("ordinal"), "value"))
+    return vocabulary.prepare_names(cells.select((F.col("page") * fx.PAGE_STEP + F.col("i")).alias("ordinal"), "value"))
 
 
 @query()
@@ -316,7 +320,7 @@ def review_exceptions(spark, sf):
     return review.review_exceptions(review.merge(source, batches, review.REVIEW_FIELDS)).select("id")
 
 
-@query(f"""{_reviews}, placed AS (SELECT f.page * 1000000 + f.start_byte AS position, f.page FROM findings f WHERE f.proposed IS NOT NULL)
+@query(f"""{_reviews}, placed AS (SELECT f.page * 4294967296 + f.start_byte AS position, f.page FROM findings f WHERE f.proposed IS NOT NULL)
 SELECT position, 'observed' AS field FROM placed WHERE page % 9 = 2 UNION ALL SELECT position, 'proposed' FROM placed WHERE page % 6 = 1""")
 def handoff_violations(spark, sf):
     source, _ = fx.reviews(spark, sf)
@@ -519,6 +523,132 @@ def route_form_groups(spark, sf):
     return corpus.route_form_groups(_routed(spark, sf))
 
 
-@query()
+@query(f"WITH {fx.SQL_ROUTED} SELECT clue, count(*) AS n FROM (SELECT unnest(clues) AS clue FROM routed WHERE disposition = '{corpus.PENDING}') GROUP BY clue")
 def clue_counts(spark, sf):
     return corpus.clue_counts(_routed(spark, sf))
+
+
+@query(f"WITH {fx.SQL_ROUTED} SELECT count(*) FILTER (duplicate_suffix) AS possible_duplicate_suffix_repairs FROM routed")
+def duplicate_suffix_repairs(spark, sf):
+    return corpus.duplicate_suffixes(_routed(spark, sf))
+
+
+@query(f"""WITH {fx.SQL_ROUTED}, part AS (SELECT route, key, disposition, count(*) AS n FROM routed GROUP BY ALL)
+SELECT p.route, p.key, array_to_string(list_sort(list(p.disposition || '=' || p.n)), ',') AS dispositions, any_value(b.books) AS books
+FROM part p JOIN (SELECT route, key, array_to_string(list_sort(list(DISTINCT book)), ',') AS books FROM routed GROUP BY ALL) b ON b.route = p.route AND b.key = p.key GROUP BY p.route, p.key""")
+def route_form_details(spark, sf):
+    return corpus.route_details(_routed(spark, sf))
+
+
+@query(f"""WITH {fx.SQL_ROUTED}, ranked AS (SELECT route, key, id, row_number() OVER (PARTITION BY route, key ORDER BY book, page, start_byte, id) AS example FROM routed)
+SELECT route, key, id, example FROM ranked WHERE example <= 3""")
+def route_form_examples(spark, sf):
+    return corpus.route_examples(_routed(spark, sf)).select("route", "key", "id", "example")
+
+
+@query(f"""WITH {fx.SQL_ROUTED}, groups AS (SELECT route, key, count(*) AS n, count(*) FILTER (disposition = '{corpus.PENDING}') AS pending FROM routed GROUP BY ALL)
+SELECT route, key, row_number() OVER (ORDER BY pending DESC, n DESC, route, key) - 1 AS position FROM groups""")
+def route_group_order(spark, sf):
+    return positions(spark, corpus.route_form_groups(_routed(spark, sf)), *corpus.group_order()).select("route", "key", "position")
+
+
+@query(f"WITH {fx.SQL_OCCURRENCES} SELECT book, key, signal, count(*) AS n FROM (SELECT book, key, unnest(signals) AS signal FROM tagged) GROUP BY ALL")
+def form_signal_histogram(spark, sf):
+    return corpus.signal_histogram(fx.occurrences(spark, sf))
+
+
+@query(f"""WITH {fx.SQL_OCCURRENCES}, states AS (SELECT key, array_to_string(list_sort(list(repair_state || '=' || n)), ',') AS repair_states FROM (SELECT key, repair_state, count(*) AS n FROM tagged GROUP BY ALL) GROUP BY key),
+tags AS (SELECT key, array_to_string(list_sort(list(DISTINCT signal)), ',') AS signals FROM (SELECT key, unnest(signals) AS signal FROM tagged) GROUP BY key)
+SELECT s.key, t.signals, s.repair_states FROM states s JOIN tags t ON t.key = s.key""")
+def form_details(spark, sf):
+    return corpus.form_details(fx.occurrences(spark, sf))
+
+
+@query(f"""WITH {fx.SQL_STATED}, pairs AS (SELECT observed, replacement, count(*) AS n FROM stated WHERE repair_state IN {fx._approved} GROUP BY ALL)
+SELECT observed, replacement, row_number() OVER (ORDER BY n DESC, observed, replacement) - 1 AS position FROM pairs""")
+def repair_pair_order(spark, sf):
+    return positions(spark, corpus.repair_pairs(corpus.effective_state(fx.findings(spark, sf))), *corpus.pair_order()).select("observed", "replacement", "position")
+
+
+# ---- reports -----------------------------------------------------------------------
+
+
+@query(f"WITH {fx.SQL_TAGGED} SELECT id, observed, CAST(NULL AS VARCHAR) AS proposal_note, CAST(NULL AS BOOLEAN) AS lexicon_suggestion FROM tagged WHERE lexical")
+def extract_lexical(spark, sf):
+    return spans.extract_lexical(fx.tagged(spark, sf)).select("id", "observed", "proposal_note", "lexicon_suggestion")
+
+
+@query(f"""WITH {fx.SQL_TAGGED}, odd AS (SELECT *, page % 10 = 1 AS no_offset, page % 10 = 2 AS has_proposal FROM tagged WHERE lexical)
+SELECT 'no offset' AS rule, id AS key FROM odd WHERE no_offset UNION ALL SELECT 'proposal already present', id FROM odd WHERE has_proposal UNION ALL SELECT 'no lexicon recorded', 'lexicon_sha256'""")
+def lexical_violations(spark, sf):
+    """What extraction refuses: findings of some pages without an offset or with a proposal, and no lexicon."""
+    rows, kind = fx.tagged(spark, sf), F.col("page") % 10
+    rows = rows.withColumn("start_byte", F.when(kind != 1, F.col("start_byte"))).withColumn("proposed", F.when(kind == 2, F.col("observed")))
+    one, two, three = spans.lexical_guards(rows, None)
+    return one.unionByName(two).unionByName(three)
+
+
+@query(f"""WITH {fx.SQL_TAGGED}, groups AS (SELECT key, arg_min(observed, ord) AS word, count(*) AS n, string_agg(id, ',' ORDER BY ord) AS ids FROM tagged WHERE lexical GROUP BY key)
+SELECT key, word, n, md5(ids) AS ids_md5, row_number() OVER (ORDER BY n DESC, key) - 1 AS position FROM groups""")
+def lexical_inventory(spark, sf):
+    """The inventory in its order, with the ids of each form's findings in theirs: lists by contract of the report."""
+    found = spans.extract_lexical(fx.tagged(spark, sf))
+    listed = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("order", "id"))), lambda x: x["id"]), ",")
+    groups = found.groupBy("key").agg(F.min_by("observed", "order").alias("word"), F.count("*").alias("n"), F.md5(listed).alias("ids_md5"))
+    return positions(spark, groups, F.desc("n"), "key")
+
+
+@query(f"WITH {fx.SQL_TAGGED} SELECT id, row_number() OVER (ORDER BY page, start_byte, rule, block, id) - 1 AS position FROM tagged")
+def findings_order(spark, sf):
+    return positions(spark, fx.tagged(spark, sf).drop("triggers"), *spans.findings_order()).select("id", "position")
+
+
+@query(f"{_groups} SELECT key, row_number() OVER (ORDER BY n DESC, suggested DESC, key) - 1 AS position FROM grouped")
+def group_order(spark, sf):
+    return positions(spark, _form_groups(spark, sf), *review.group_order()).select("key", "position")
+
+
+@query(f"WITH {fx.SQL_LEXICAL} SELECT id, proposed, proposal_note, CASE WHEN proposed IS NOT NULL THEN 'approved' END AS status, CASE WHEN proposed IS NULL THEN note END AS note FROM lexical")
+def join_all(spark, sf):
+    """Proposals and verdicts merged in one go; its guards are those of ``handoff_refusals``."""
+    return review.join_all(*_handoff(spark, sf))[1].select("id", "proposed", "proposal_note", "status", "note")
+
+
+@query(f"""WITH {fx.SQL_LEXICAL} SELECT 'missing finding' AS rule, id AS key FROM lexical WHERE page % 10 = 1 UNION ALL SELECT 'unauthorised edit', id FROM lexical WHERE page % 10 = 3 UNION ALL SELECT 'unreviewed finding', id FROM lexical WHERE page % 10 = 5""")
+def handoff_refusals(spark, sf):
+    """What the two-stage handoff refuses: proposals missing, proposals that a verdict changes, no verdict."""
+    from functools import reduce
+
+    source, proposals, verdicts = _handoff(spark, sf)
+    kind = F.col("page") % 10
+    proposals = proposals.filter(kind != 1)
+    verdicts = verdicts.filter(kind != 1).withColumn("proposed", F.when(kind == 3, F.concat(F.coalesce("proposed", F.lit("")), F.lit("!"))).otherwise(F.col("proposed")))
+    verdicts = verdicts.withColumn("status", F.when(kind != 5, F.col("status"))).withColumn("note", F.when(kind != 5, F.coalesce("note", F.lit("seen"))))
+    return reduce(DataFrame.unionByName, review.join_all(source, proposals, verdicts)[2])
+
+
+def _handoff(spark, sf):
+    from ..session import written
+
+    done = fx.findings(spark, sf).withColumn("proposal_source", F.when(F.col("proposed").isNotNull(), "codex_scan_proposal")).withColumn("evidence", F.lit("scan"))
+    done = written(spark, done.withColumn("position", F.col("order")).withColumn("file", F.col("page") % 4).withColumn("ordinal", F.col("order")), "handoff")
+    blank = {"proposed": "string", "proposal_source": "string", "evidence": "string", "proposal_note": "string", "lexicon_suggestion": "boolean", "status": "string", "note": "string"}
+    source = done.select("id", "position", "page", "observed", *(F.lit(None).cast(t).alias(c) for c, t in blank.items()))
+    proposals = done.withColumn("status", F.lit(None).cast("string")).withColumn("note", F.lit(None).cast("string"))
+    verdicts = done.withColumn("status", F.when(F.col("proposed").isNotNull(), "approved")).withColumn("note", F.when(F.col("proposed").isNull(), F.col("note")))
+    return source, proposals, verdicts
+
+
+@query(f"WITH {fx.SQL_EDITS}, {fx.SQL_LEXICAL} SELECT DISTINCT page FROM (SELECT page FROM edits UNION ALL SELECT page FROM lexical WHERE status = 'approved' AND page % 5 = 0)")
+def edited_pages(spark, sf):
+    """Pages with an executed edit of either stage."""
+    return repairs.edited_pages(_edits(spark, sf), fx.findings(spark, sf).filter("status = 'approved' AND page % 5 = 0"))
+
+
+@query(rf"""WITH {fx.SQL_UNKNOWN}, asked AS (SELECT DISTINCT observed AS word, key, CASE WHEN length(observed) % 5 = 0 THEN '' ELSE 'seen' END AS note FROM unknown)
+SELECT 'malformed entry' AS rule, word AS key FROM asked WHERE note = '' UNION ALL SELECT 'duplicate word', key FROM asked GROUP BY key HAVING count(*) > 1""")
+def lexicon_violations(spark, sf):
+    """Entries without a note, and words that fold to one key."""
+    words = fx.unknown(spark, sf).select(F.col("observed").alias("word")).distinct()
+    entries = words.select("word", *(F.lit("x").alias(c) for c in ("finding_id", "source_report_sha256", "source_scans_sha256")), F.when(F.length("word") % 5 == 0, "").otherwise("seen").alias("note"))
+    return review.lexicon_guards(entries)

@@ -29,7 +29,7 @@ def probe(spark: SparkSession, scans: str, artifacts: str, words: DataFrame) ->
     plain = lambda df: df.select("page", "rule", *((F.col(c) if c in df.columns else F.lit(None)).cast(t).alias(c) for c, t in empty.items()), F.array("rule").alias("triggers"))
     white = spans.whitespace_findings(whole).select("page", "rule", "start_byte", "end_byte", "observed", "proposed", "triggers")
     upper = spans.adjacency_hits(whole).filter("rule = 'lower_upper'").select("page", "rule", "start", "end")
-    unknown = vocabulary.unrecognized_tokens(vocabulary.tokens(whole), words).select("page", F.lit("unrecognized_token").alias("rule"), "start", "end")
+    unknown = vocabulary.unknown_in(spark, whole.select("page", "text"), words).select("page", F.lit("unrecognized_token").alias("rule"), "start", "end")
     merged = spans.combine_spans(upper.unionByName(unknown)).join(whole.select("page", "text"), "page")
     text = F.substring("text", F.col("start") + 1, F.col("end") - F.col("start"))
     at = F.octet_length(F.substring("text", F.lit(1), F.col("start")))

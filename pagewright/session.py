@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import os
+import uuid
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def with_workers(spark: SparkSession) -> SparkSession:
@@ -16,3 +18,31 @@ def with_workers(spark: SparkSession) -> SparkSession:
     if root not in paths:
         env["PYTHONPATH"] = os.pathsep.join([*paths, root])
     return spark
+
+
+def written(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
+    """``df`` as a table in the folder that driver and executors share (spark.checkpoint.dir), so it is computed once."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        base = "/tmp/checkpoints"
+    path = f"{base.rstrip('/')}/pagewright/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex[:12]}"
+    df.write.option("compression", "zstd").parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def positions(spark: SparkSession, df: DataFrame, *order) -> DataFrame:
+    """``df`` with ``position``, its place from 0 in the given order, which must be total.
+
+    Rows are sorted by ranges; each range numbers its own rows, and one count for each range reaches the driver.
+    """
+    rows = written(spark, df.orderBy(*order).withColumn("_at", F.monotonically_increasing_id()), "sorted")
+    part = F.shiftright("_at", 33)
+    before, ahead = 0, []
+    for p, n in sorted(tuple(r) for r in rows.groupBy(part.alias("p")).count().collect()):
+        ahead.append((p, before))
+        before += n
+    ahead = F.broadcast(spark.createDataFrame(ahead, "_part long, _before long"))
+    rows = rows.join(ahead, part == F.col("_part"))
+    return rows.withColumn("position", F.col("_before") + F.col("_at").bitwiseAND((1 << 33) - 1)).drop("_at", "_part", "_before")

@@ -207,3 +207,58 @@ def test_readers_and_sinks(tmp_path, spark):
     (tmp_path / "names").write_text("Plato\nPLATO\n")
     with pytest.raises(guards.Refused, match="duplicate"):
         d.name_list(spark, str(tmp_path / "names"))
+
+
+def test_single_pass_equals_joined_forms(spark):
+    pages = spark.createDataFrame([(1, "b", "Élan vital naïve <b>word</b> Word élan"), (2, "c", None), (3, "b", "`code` known unknown")], "page long, book string, text string")
+    words = spark.createDataFrame([("élan",), ("known",)], "key string")
+    columns = ["page", "book", "ordinal", "start_byte", "end_byte", "observed", "key"]
+    one = {tuple(r) for r in vocabulary.unknown_in(spark, pages, words).select(*columns).collect()}
+    assert one == {tuple(r) for r in vocabulary.unknown_in(spark, pages, words, limit=1).select(*columns).collect()} and len(one) == 5
+    assert vocabulary.unknown_in(spark, pages.limit(0), words).count() == 0
+
+
+def test_positions_are_those_of_a_sort(spark):
+    from pagewright.session import positions
+
+    df = spark.range(1000).selectExpr("id * 7919 % 1000 AS k").repartition(7)
+    assert all(r["k"] == r["position"] for r in positions(spark, df, "k").collect())
+    assert positions(spark, df.limit(0), "k").count() == 0
+
+
+def test_lexicon_guards(spark):
+    rows = [("Word", "f", "a", "b", "seen"), ("word", "f", "a", "b", "seen"), ("two words", "f", "a", "b", "seen"), ("other", "", "a", "b", "seen"), ("third", "f", "a", "b", " ")]
+    entries = spark.createDataFrame(rows, "word string, finding_id string, source_report_sha256 string, source_scans_sha256 string, note string")
+    got = {(r["rule"], r["key"]) for r in review.lexicon_guards(entries).collect()}
+    assert got == {("duplicate word", "word"), ("malformed entry", "two words"), ("malformed entry", "other"), ("malformed entry", "third")}
+
+
+def test_overrides_that_undo_an_admission_are_refused(spark):
+    findings = spark.createDataFrame([(i, w, p, None, None, s, None) for i, w, p, s in (("a", "Word", None, None), ("b", "wrod", "word", "approved"), ("c", "Other", None, None))],
+        "id string, observed string, proposed string, proposal_source string, evidence string, status string, note string")
+    admitted = spark.createDataFrame([("a", "word"), ("b", "Word"), ("c", "other")], "finding_id string, word string")
+    overrides = spark.createDataFrame([("a", "approved", "Ward", "seen"), ("b", "rejected", None, "seen")], "id string, decision string, replacement string, human_note string")
+    assert [r["key"] for r in review.override_rollback(findings, overrides.limit(0), admitted).collect()] == []
+    assert sorted(r["key"] for r in review.override_rollback(findings, overrides, admitted).collect()) == ["a", "b"]
+
+
+def test_stale_snapshots(spark):
+    recorded = spark.createDataFrame([("scans", "1"), ("lexicon", "2"), ("gone", "3")], "name string, sha256 string")
+    now = spark.createDataFrame([("scans", "1"), ("lexicon", "x")], "name string, sha256 string")
+    assert sorted(r["key"] for r in review.stale(recorded, now).collect()) == ["gone", "lexicon"]
+
+
+def test_repeated_endings_are_not_executed(spark):
+    page = spark.createDataFrame([(1, "It doesn't.")], "page long, text string")
+    edit = spark.createDataFrame([(1, "x", 3, 8, "doesn", "doesn't")], "page long, id string, start_byte int, end_byte int, observed string, proposed string")
+    with pytest.raises(guards.Refused, match="repeats"):
+        guards.require(*repairs.edit_guards(page, edit))
+
+
+@pytest.mark.parametrize("shown", ["a ```` b ``` c ```` d", "```` x\n```\n```` y\nz", "  ~~~x\n~~~~ \r\nafter `a\n`b` c`", "\\`x` `y`", "é <b title='🙂'>é</b>", "`<b` c>`", "``` a", "```\nx\x0b```\ny"])
+def test_mask_keeps_lengths(shown):
+    blank = T.blanked(shown)
+    assert len(blank) == len(shown) and len(blank.encode()) == len(shown.encode())
+    assert all(b in (a, *T._BLANKS) for a, b in zip(shown, blank))
+    stretches = T.hidden(shown)
+    assert stretches == T.merged(stretches) and all(blank[i] == shown[i] for i in range(len(shown)) if not any(a <= i < b for a, b in stretches))
