@@ -192,6 +192,7 @@ def blanked(text: str) -> str:
 
 
 _CLUSTER, _RUN, _MARK = regex.compile(CLUSTER), regex.compile(RUN), regex.compile(r"\p{M}")
+_PLAIN_RUN, _LONG_RUN = re.compile("[A-Za-z]{4,}"), regex.compile(r"[\p{L}\p{M}]{4,}")
 
 
 def letter_runs(text: str, plain: bool = False) -> list[tuple[int, int, int, int, str]]:
@@ -202,6 +203,17 @@ def letter_runs(text: str, plain: bool = False) -> list[tuple[int, int, int, int
     """
     shown, out, at, byte = text if plain else blanked(text), [], 0, 0
     narrow = shown.isascii()
+    if "_" not in shown:  # then clusters do not matter: every run of letters and marks is one of its own
+        if narrow:
+            return [(a, b, a, b, shown[a:b]) for a, b in (m.span() for m in _PLAIN_RUN.finditer(shown))]
+        for m in _LONG_RUN.finditer(shown):
+            run = m[0]
+            if not run.isalpha() and len(_MARK.sub("", run)) < 4:
+                continue
+            first = byte + len(shown[at : m.start()].encode())
+            at, byte = m.end(), first + len(run.encode())
+            out.append((m.start(), at, first, byte, run))
+        return out
     for c in _CLUSTER.finditer(shown):
         cluster = c[0]
         if len(cluster) < 4 or "_" in cluster:

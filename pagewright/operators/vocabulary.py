@@ -81,13 +81,18 @@ def unknown_in(spark: SparkSession, pages: DataFrame, words: DataFrame, plain: b
     known = spark.sparkContext.broadcast(frozenset(r["key"] for r in listed))  # bounded above
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key = lru_cache(1 << 16)(T.canonical_of)
+        keys: dict[str, str | None] = {}  # the key of each spelling met, none if it is known
         for batch in batches:
             columns: list[list] = [[] for _ in range(8)]
             for i, text in enumerate(batch.column("text").to_pylist()):
                 for j, run in enumerate(T.letter_runs(text or "", plain)):
-                    k = key(run[4])
-                    if k not in known.value:
+                    k = keys.get(run[4], "")
+                    if k == "":
+                        k = T.canonical_of(run[4])
+                        k = None if k in known.value else k
+                        if len(keys) < 1 << 18:
+                            keys[run[4]] = k
+                    if k is not None:
                         for c, x in zip(columns, (i, j, *run, k), strict=True):
                             c.append(x)
             at = pa.array(columns[0], pa.int64())
@@ -153,19 +158,21 @@ def segment_hints(spark: SparkSession, forms: DataFrame, counts: DataFrame, most
     """
     kind = "array<struct<proposed:string,relative_score:double>>"
 
-    def listed(word: str, known: dict[str, int]) -> list[tuple[str, float]]:
-        return [(" ".join(p), round(s, 4)) for s, p in segmentations(word, known, most)]
+    arrow = pa.list_(pa.struct([("proposed", pa.string()), ("relative_score", pa.float64())]))
+
+    def listed(word: str, known: dict[str, int]) -> list[dict]:
+        return [{"proposed": " ".join(p), "relative_score": round(s, 4)} for s, p in segmentations(word, known, most)]
 
     if counts.limit(limit + 1).count() <= limit:
         known = spark.sparkContext.broadcast({r["key"]: r["n"] for r in counts.collect()})  # bounded above
-        split = F.udf(lambda word: listed(word, known.value), kind)
+        split = F.arrow_udf(lambda words: pa.array([listed(w, known.value) for w in words.to_pylist()], arrow), kind)
         found = forms.select("observed", F.posexplode(split("observed")).alias("rank", "hint"))
     else:
         words = forms.select("observed").distinct().filter(F.length("observed").between(1, LONGEST_WORD))
-        pieces = F.udf(pieces_of, "array<string>")
+        pieces = F.arrow_udf(lambda words: pa.array([pieces_of(w) for w in words.to_pylist()], pa.list_(pa.string())), "array<string>")
         near = words.select("observed", F.explode(pieces("observed")).alias("key")).join(counts, "key")
         near = near.groupBy("observed").agg(F.map_from_entries(F.collect_list(F.struct("key", "n"))).alias("known"))
-        split = F.udf(listed, kind)
+        split = F.arrow_udf(lambda words, known: pa.array([listed(w, dict(k)) for w, k in zip(words.to_pylist(), known.to_pylist(), strict=True)], arrow), kind)
         hints = near.select("observed", F.posexplode(split("observed", "known")).alias("rank", "hint"))
         found = forms.select("observed").join(hints, "observed")
     return found.select("observed", F.col("rank").cast("int"), "hint.proposed", "hint.relative_score")

@@ -277,7 +277,7 @@ def name_list_prepare(spark, sf):
 def segment_hints(spark, sf):
     """Splits of every unknown form of the documents, some words of which run together."""
     docs, words = fx.glued(spark, sf), fx.words(spark, sf, least=1)
-    forms = vocabulary.unrecognized_tokens(vocabulary.tokens(docs), words).select("observed").distinct()
+    forms = vocabulary.unknown_in(spark, docs.select("page", "text"), words).select("observed").distinct()
     # known words that the documents lack are pieces too
     counts = words.join(vocabulary.known_counts(docs, words), "key", "left").select("key", F.coalesce("n", F.lit(0)).alias("n"))
     return vocabulary.segment_hints(spark, forms, counts)

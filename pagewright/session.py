@@ -37,6 +37,7 @@ def positions(spark: SparkSession, df: DataFrame, *order) -> DataFrame:
 
     Rows are sorted by ranges; each range numbers its own rows, and one count for each range reaches the driver.
     """
+    df = written(spark, df, "unsorted")  # a sort by ranges reads its input twice
     rows = written(spark, df.orderBy(*order).withColumn("_at", F.monotonically_increasing_id()), "sorted")
     part = F.shiftright("_at", 33)
     before, ahead = 0, []
