@@ -278,3 +278,23 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts and verdicts of every document."""
     docs = table(spark, sf_dir, "documents")
     return assess(spark, docs, train(spark, docs, table(spark, sf_dir, "labels")))
+
+
+def quality_base_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The counts and the base verdict of ``op3_quality_rules``, which SQL can express (``BASE_SQL``)."""
+    none = np.zeros((3 << BITS) + 1)
+    return assess(spark, table(spark, sf_dir, "documents"), Model(none)).drop("probability", "kept")
+
+
+_WORD = r"[^\x20\x09-\x0D]"
+BASE_SQL = rf"""
+WITH texts AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+parts AS (SELECT *, regexp_extract_all(text, '{_WORD}+') AS words, list_filter(string_split(text, chr(10)), lambda l: regexp_matches(l, '{_WORD}')) AS lines FROM texts),
+windows AS (SELECT doc_id, i, words[i] || ' ' || words[i + 1] || ' ' || words[i + 2] AS k FROM (SELECT doc_id, words, unnest(range(1, len(words) - 1)) AS i FROM parts)),
+twice AS (SELECT doc_id, i FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, k) AS n FROM windows) WHERE n > 1),
+covered AS (SELECT doc_id, count(DISTINCT place) AS n FROM (SELECT doc_id, unnest([i, i + 1, i + 2]) AS place FROM twice) GROUP BY doc_id),
+counts AS (SELECT p.doc_id, len(words)::BIGINT AS n_words, coalesce(list_sum(list_transform(words, lambda w: length(w))), 0)::BIGINT AS word_chars,
+    length(regexp_replace(text, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols, (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines, coalesce(c.n, 0)::BIGINT AS n_repeat_words
+  FROM parts p LEFT JOIN covered c ON c.doc_id = p.doc_id)
+SELECT *, n_words < {MIN_WORDS} OR 100 * n_repeat_words > {MAX_REPEAT_PERCENT} * n_words AS base_failed FROM counts
+"""

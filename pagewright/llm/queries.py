@@ -19,6 +19,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_simhash_near_dedup": simhash.op8_simhash_near_dedup,
     "op9_embedding_near_dedup": vectors.op9_embedding_near_dedup,
     "op10_language_id": langid.op10_language_id,
+    "quality_base_counts": quality.quality_base_counts,
 }
 
-ORACLE_SQL: dict[str, str] = {"op2_url_filters": urls.oracle_sql()}
+ORACLE_SQL: dict[str, str] = {"op2_url_filters": urls.oracle_sql(), "quality_base_counts": quality.BASE_SQL}
