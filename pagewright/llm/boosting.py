@@ -57,9 +57,8 @@ def statistics(w: Words) -> np.ndarray:
 class Trees:
     """Flat trees: split feature and threshold of every inner node, value of every leaf."""
 
-    def __init__(self, feature: np.ndarray, threshold: np.ndarray, leaf: np.ndarray, base: float, slope: float = 1.0, intercept: float = 0.0):
+    def __init__(self, feature: np.ndarray, threshold: np.ndarray, leaf: np.ndarray, base: float):
         self.feature, self.threshold, self.leaf, self.base = feature, threshold, leaf, base
-        self.slope, self.intercept = slope, intercept
 
     def margin(self, x: np.ndarray) -> np.ndarray:
         trees, inner = self.feature.shape
@@ -73,7 +72,7 @@ class Trees:
         return self.base + self.leaf[tree, node - inner].sum(axis=1)
 
     def score(self, x: np.ndarray) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(self.slope * self.margin(x) + self.intercept, -40, 40)))
+        return 1 / (1 + np.exp(-np.clip(self.margin(x), -40, 40)))
 
 
 def fit(x: np.ndarray, y: np.ndarray, trees: int = TREES, depth: int = DEPTH, rate: float = RATE) -> Trees:
@@ -130,7 +129,11 @@ def train(spark: SparkSession, docs: DataFrame, labels: DataFrame) -> Trees:
 
 
 def classify(spark: SparkSession, docs: DataFrame, model: Trees) -> DataFrame:
-    """``(doc_id, score, predicted)`` for every row of ``docs``; null text counts as empty. Other columns are ignored."""
+    """``(doc_id, score, predicted)`` for every row of ``docs``; null text counts as empty and has a score too.
+
+    Repeated rows give repeated results, an empty table an empty one; texts are scored whole,
+    a megabyte or one longer text at a time. Other columns are ignored.
+    """
     with_workers(spark)
     shared = spark.sparkContext.broadcast(model)
 

@@ -164,7 +164,8 @@ def identify(spark: SparkSession, docs: DataFrame, model: Model) -> DataFrame:
 
     Null text or text without a letter is ``und`` with score 0. The score is the
     chosen language's share when every language's probability of the text counts
-    alike; equal code lengths go to the language first in order. Other columns are ignored.
+    alike; equal code lengths go to the language first in order. Repeated rows give repeated results,
+    an empty table an empty one; texts are read whole. Other columns are ignored.
     """
     with_workers(spark)
     shared = spark.sparkContext.broadcast(model)

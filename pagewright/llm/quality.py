@@ -247,7 +247,8 @@ def judged(column: pa.Array, model: Model) -> dict[str, np.ndarray]:
 def assess(spark: SparkSession, docs: DataFrame, model: Model) -> DataFrame:
     """One row per row of ``docs``: counts, base verdict, probability, and whether it is kept.
 
-    Null and empty texts have no words and fail. Columns other than doc_id and text are ignored.
+    Null and empty texts have no words and fail. Repeated rows give repeated results, an empty table an
+    empty one; a probability equal to the threshold is kept. Columns other than doc_id and text are ignored.
     """
     with_workers(spark)
     shared = spark.sparkContext.broadcast(model)

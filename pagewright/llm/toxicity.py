@@ -529,7 +529,11 @@ def train(spark: SparkSession, docs: DataFrame, labels: DataFrame) -> Model:
 
 
 def classify(spark: SparkSession, docs: DataFrame, model: Model) -> DataFrame:
-    """``(doc_id, score, predicted)`` for every row of ``docs``; null and empty texts get the score of no unit at all."""
+    """``(doc_id, score, predicted)`` for every row of ``docs``; null and empty texts get the score of no unit at all.
+
+    Repeated rows give repeated results, an empty table an empty one; texts are scored whole,
+    a megabyte or one longer text at a time. Other columns are ignored.
+    """
     with_workers(spark)
     shared = spark.sparkContext.broadcast(model)
 

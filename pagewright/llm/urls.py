@@ -92,7 +92,7 @@ def judge(pages: DataFrame, rule_list: list[Rule] | None = None) -> DataFrame:
 
     The longest host rule that fits decides; without one, a pattern that fits
     blocks, and else the url is allowed. Null urls have no host and no path and
-    are allowed. Other columns are ignored.
+    are allowed. Repeated rows give repeated results, an empty table an empty one. Other columns are ignored.
     """
     known, n = _literal(rules() if rule_list is None else rule_list)
     host, path = split(F.col("url").cast("string"))

@@ -284,3 +284,34 @@ def test_split_insults_are_toxic(spark, documents, tmp_path):
     whole = top([t.replace(" ", f" {broken[i % 8].replace(' ', '')} ", 1) for i, t in enumerate(clean)])
     found = top([t.replace(" ", f" {broken[i % 8]} ", 1) for i, t in enumerate(clean)])
     assert (whole > 0).all() and (found >= whole - 1e-4).all()
+
+
+def test_one_class_one_language_and_repeated_rows(spark, documents):
+    texts = [sentence(k, 60) for k in range(12)]
+    docs = documents([*texts, texts[0], texts[0]], [*range(12), 0, 0])
+    ones = spark.createDataFrame([(i, 1, 1) for i in range(12)], "doc_id long, quality int, toxic int")
+    for module, column in ((boosting, "score"), (toxicity, "score"), (quality, "probability")):
+        model = module.train(spark, docs, ones)
+        judge = module.assess if module is quality else module.classify
+        rows = judge(spark, docs, model).collect()
+        assert len(rows) == 14 and all(r[column] > 0.5 for r in rows) and len({r[column] for r in rows if r["doc_id"] == 0}) == 1
+        assert judge(spark, documents([]), model).count() == 0
+    rows = langid.identify(spark, docs, langid.train(spark, docs)).collect()
+    assert len(rows) == 14 and {(r["lang_pred"], r["score"]) for r in rows} == {("en", 1.0)}
+    assert langid.train(spark, documents([])).languages == []
+
+
+def test_probability_at_the_threshold_is_kept():
+    weights = np.zeros((3 << quality.BITS) + 1)
+    margin = math.log(quality.THRESHOLD / (1 - quality.THRESHOLD))
+    text = pa.array([sentence(1, 60)])
+    for shift, kept in ((1e-9, True), (-1e-9, False)):
+        weights[-1] = margin + shift
+        assert quality.judged(text, quality.Model(weights))["kept"].tolist() == [kept]
+
+
+def test_bounded_sample(spark):
+    rows = spark.range(40000).selectExpr("CASE WHEN id < 39990 THEN id % 5000 ELSE id END AS k", "IF(id < 39990, 'a', 'b') AS g")
+    got = common.bounded_sample(rows, ["g"], "k", 300).collect()
+    assert sum(r["g"] == "a" for r in got) == 300 and sum(r["g"] == "b" for r in got) == 10 and len(got) == len(set(got))
+    assert sorted(got) == sorted(common.bounded_sample(rows.repartition(5), ["g"], "k", 300).collect())
