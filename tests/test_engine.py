@@ -262,3 +262,13 @@ def test_mask_keeps_lengths(shown):
     assert all(b in (a, *T._BLANKS) for a, b in zip(shown, blank))
     stretches = T.hidden(shown)
     assert stretches == T.merged(stretches) and all(blank[i] == shown[i] for i in range(len(shown)) if not any(a <= i < b for a, b in stretches))
+
+
+def test_stream_of_pages(spark, page, tmp_path):
+    from pagewright.streaming.probe import stream_findings
+
+    page.write.parquet(f"{tmp_path}/in")
+    stream = stream_findings(spark, f"{tmp_path}/in").select("id", "proposed").writeStream.format("memory").queryName("found").trigger(availableNow=True).option("checkpointLocation", f"{tmp_path}/state").start()
+    stream.awaitTermination(120)
+    want = {(r["id"], r["proposed"]) for r in spans.whitespace_findings(page).collect()}
+    assert {tuple(r) for r in spark.table("found").collect()} == want
