@@ -10,6 +10,7 @@ plan, so judging needs neither a join nor a shuffle.
 from __future__ import annotations
 
 import re
+import zlib
 from collections import Counter
 from dataclasses import dataclass
 
@@ -73,7 +74,7 @@ def _literal(rules: list[Rule]) -> tuple[Column, int]:
         for r in those:
             name = F.lit(r.rule) if r.rule is not None else F.lit(None).cast("string")
             entry = F.struct(F.lit(token).alias("token"), F.lit(r.pattern).alias("pattern"), name.alias("rule"), F.lit(r.verdict).alias("verdict"))
-            buckets[sum(token.encode()) % n].append(entry)
+            buckets[zlib.crc32(token.encode()) % n].append(entry)
     none = F.array().cast("array<struct<token:string,pattern:string,rule:string,verdict:string>>")
     return F.array(*(F.array(*b) if b else none for b in buckets)), n
 
@@ -100,8 +101,8 @@ def judge(pages: DataFrame, rule_list: list[Rule] | None = None) -> DataFrame:
     # one projection per step, so that no step repeats the work of the one before
     rows = rows.withColumn("place", F.concat("host", "path"))
     rows = rows.withColumn("tokens", F.array_distinct(F.filter(F.split(F.translate("place", UPPER, LOWER), "[^a-z0-9]+"), lambda t: t != "")))
-    codes = lambda t: F.aggregate(F.split(t, ""), F.lit(0), lambda a, c: a + F.ascii(c))
-    fetched = F.flatten(F.transform("tokens", lambda t: F.filter(F.get(known, F.pmod(codes(t), F.lit(n))), lambda e: e["token"] == t)))
+    bucket = lambda t: F.pmod(F.crc32(t.cast("binary")), F.lit(n)).cast("int")
+    fetched = F.flatten(F.transform("tokens", lambda t: F.filter(F.get(known, bucket(t)), lambda e: e["token"] == t)))
     rows = rows.withColumn("candidates", fetched)
     rows = rows.withColumn("fits", F.filter("candidates", lambda e: F.rlike("place", e["pattern"])))
     host_fits = F.filter("fits", lambda e: e["rule"].isNotNull())
