@@ -102,6 +102,24 @@ def handoff_violations(expected: DataFrame, edited: DataFrame, writable: tuple[s
     return both.select("position", F.explode(changed).alias("field"))
 
 
+def verdict_guards(reviewed: DataFrame) -> DataFrame:
+    """Reviewed findings whose proposal or verdict cannot stand: no evidence, no change, an origin without a proposal, approval of nothing."""
+    given = F.col("proposed").isNotNull()
+    bad = given & ((F.col("proposed") == F.col("observed")) | ~F.col("proposal_source").eqNullSafe("codex_scan_proposal") | (F.trim(F.coalesce("evidence", F.lit(""))) == ""))
+    return (
+        violations(reviewed, "invalid proposal", "id", bad | (~given & F.col("proposal_source").isNotNull()))
+        .unionByName(violations(reviewed, "invalid verdict", "id", (F.col("status").isNotNull() & (F.col("status") != "approved")) | ~F.col("review_parts").eqNullSafe(F.array(F.lit("note"), F.lit("status")))))
+        .unionByName(violations(reviewed, "approval without a replacement", "id", F.col("status").eqNullSafe("approved") & ~given))
+    )
+
+
+def vocabulary(findings: DataFrame) -> DataFrame:
+    """``(word, n, ids)`` of a report's forms, most frequent first, then by key; a report lists the ids of its own findings."""
+    ids = F.transform(F.array_sort(F.collect_list(F.struct("position", "id"))), lambda p: p["id"])
+    forms = findings.withColumn("key", T.canonical("observed")).groupBy("key").agg(F.min_by("observed", "position").alias("word"), F.count("*").alias("n"), ids.alias("ids"))
+    return forms.orderBy(F.desc("n"), "key").select("word", "n", "ids")
+
+
 def handoff_diff(expected: DataFrame, got: DataFrame) -> DataFrame:
     """``(id, side)``: ids on one side only."""
     missing = expected.select("id").distinct().join(got.select("id"), "id", "left_anti").withColumn("side", F.lit("missing"))
@@ -161,6 +179,28 @@ def admissions(entries: DataFrame, findings: DataFrame, lexicon: DataFrame) -> D
     return out.groupBy("key").agg(F.min(F.struct("finding_id", "word", "basis")).alias("m")).select("m.word", "m.finding_id", "key", "m.basis")
 
 
+def admission_refusals(entries: DataFrame, findings: DataFrame, lexicon: DataFrame, corrected: bool = True) -> DataFrame:
+    """Why ``entries(word, finding_id, approved, note)`` may not be admitted; all must stand for any to be.
+
+    Each needs a yes, a reason, a valid word, a finding of an unknown token that bears it out (its replacement
+    only if ``corrected``), and a word that neither the lexicon nor another entry holds.
+    """
+    formal = ~F.coalesce("approved", F.lit(False)) | ~F.coalesce(T.valid_word(F.col("word")), F.lit(False)) | (F.trim(F.coalesce("note", F.lit(""))) == "")
+    told = F.coalesce("word", F.lit(""))
+    good = entries.filter(~formal).withColumn("key", T.canonical("word"))
+    seen = findings.filter(F.array_contains("triggers", "unrecognized_token")).select(F.col("id").alias("finding_id"), "observed", "proposed", "status")
+    both = good.select("word", "key", "finding_id").join(seen, "finding_id", "left")
+    stands = (F.col("key") == T.canonical("observed")) & F.col("proposed").isNull() & F.col("status").isNull()
+    if corrected:
+        stands |= (F.col("status") == "approved") & T.valid_word(F.col("proposed")) & (F.col("key") == T.canonical("proposed"))
+    return (
+        violations(entries, "admission without approval, reason or word", told, formal)
+        .unionByName(violations(both, "admission without evidence", "word", ~F.coalesce(stands, F.lit(False))))
+        .unionByName(violations(good.join(lexicon.select("key"), "key", "left_semi"), "word already admitted", "word"))
+        .unionByName(violations(duplicates(good, "key"), "word admitted twice", "key"))
+    )
+
+
 def eligibility(findings: DataFrame, lexicon: DataFrame) -> DataFrame:
     """Findings with ``eligible`` (an admissible word, nothing proposed or approved) and ``corrected_admissible``."""
     admissible = T.valid_word(F.col("observed"))

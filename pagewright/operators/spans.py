@@ -64,6 +64,14 @@ def extract_whitespace(findings: DataFrame) -> DataFrame:
     return findings.filter((F.size("triggers") > 0) & (F.size(F.array_except("triggers", F.array(*map(F.lit, T.PUNCTUATION_RULES)))) == 0))
 
 
+def proposal_guard(edits: DataFrame) -> DataFrame:
+    """Edits other than the blanks that the punctuation rules call for."""
+    from .guards import violations
+
+    fits = F.col("proposed").eqNullSafe(T.whitespace_proposal(F.col("observed"), F.col("triggers")))
+    return violations(edits, "no edit of the punctuation stage", "id", ~fits)
+
+
 def extract_lexical(findings: DataFrame) -> DataFrame:
     """Findings with an unrecognised token, with empty slots for the proposer."""
     out = findings.filter(F.array_contains("triggers", "unrecognized_token"))

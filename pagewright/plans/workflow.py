@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import guards, pages, repairs, spans, vocabulary
+from ..session import written
 from ..sources import directories as d
+from ..sources import reports
 
 KINDS = (".png", ".jpg", ".jpeg")
 
@@ -42,20 +44,19 @@ def probe(spark: SparkSession, scans: str, artifacts: str, words: DataFrame) ->
     return out
 
 
-def execute(spark: SparkSession, artifacts: str, edits: DataFrame, target: str) -> dict:
-    """Apply ``edits(page, id, start_byte, end_byte, observed, proposed)`` to a copy of ``artifacts``; returns the ledger.
+def execute(spark: SparkSession, artifacts: str, edits: DataFrame, target: str, scans: str | None = None) -> dict:
+    """Apply ``edits(page, id, start_byte, end_byte, observed, proposed, triggers)`` to a copy of ``artifacts``; returns the ledger.
 
     Nothing is written if a guard finds fault; the result is reversed and compared before it is published.
+    ``scans`` binds the ledger to the scanned book, which the lexical stage asks for.
     """
     found = d.files(spark, artifacts)
-    texts = d.texts(found)
-    guards.require(*repairs.edit_guards(texts, edits))
-    done = repairs.apply_repairs(texts, edits)
-    sources = texts.select("page", "path", F.sha2(F.encode("text", "UTF-8"), 256).alias("source_sha256"))
-    ledger = edits.select("page", "id", "start_byte", "end_byte", "observed", "proposed").join(sources, "page")
-    guards.require(repairs.provenance_violations(done, ledger))
-    totals = repairs.repair_totals(done, edits).first().asDict()
-    rows = [r.asDict() for r in ledger.orderBy("path", "start_byte").collect()]  # a book's approved edits: the ledger file itself
-    report = totals | {"source_sha256": pages.snapshot_digest(pages.file_digests(found)).first()["snapshot_sha256"], "changes": rows}
-    d.publish_pages(artifacts, done.filter("derived <> text").join(sources, "page").select("path", "derived"), report, target)
+    texts, edits = d.texts(found), written(spark, edits, "edits")  # read by every guard
+    guards.require(*repairs.edit_guards(texts, edits), spans.proposal_guard(edits))
+    sha = lambda files: pages.snapshot_digest(pages.file_digests(files)).first()["snapshot_sha256"]
+    source = sha(found)
+    about = {"execution_format": reports.WHITESPACE_STAGE, "source_dir_sha256": sha(d.files(spark, scans)) if scans else None, "source_paddle_dir_sha256": source}
+    at = edits.join(texts.select("page", "path"), "page").drop("page").withColumnRenamed("path", "page").withColumn("json_markdown_comparison", F.lit(reports.REVERSED))
+    report, changed = d.ledger_of(texts.select(F.col("path").alias("page"), "text"), at, about, "triggers", "json_markdown_comparison")
+    d.publish_pages(artifacts, changed, report, target, reports.WHITESPACE_LEDGER, source)
     return report

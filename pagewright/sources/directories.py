@@ -12,6 +12,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators import guards
 from ..operators.guards import Refused
 
 
@@ -23,6 +24,8 @@ def checked_root(root: str) -> Path:
     for at in path.rglob("*"):
         if at.is_symlink() or not (at.is_file() or at.is_dir()):
             raise Refused(f"not a regular file: {at}")
+        if at.name.startswith((".", "_")):
+            raise Refused(f"name that Spark's readers skip: {at}")
     return path
 
 
@@ -93,7 +96,6 @@ def manifest(path: str) -> list[dict]:
 def name_list(spark: SparkSession, path: str, most_bytes: int = 10_000_000) -> DataFrame:
     """``(name, key)`` of a list with one capitalised word a line; ``#`` and blank lines are skipped, others refused."""
     from ..functions import text as T
-    from ..operators import guards
 
     if os.path.getsize(path) > most_bytes:
         raise Refused(f"name list is too large: {path}")
@@ -107,6 +109,35 @@ def name_list(spark: SparkSession, path: str, most_bytes: int = 10_000_000) -> D
 # ---- sinks -------------------------------------------------------------------------
 
 
+def sha256(raw: bytes) -> str:
+    return hashlib.sha256(raw).hexdigest()
+
+
+def folder_digest(root: str | Path) -> str:
+    """The digest of a directory read by the driver, equal to that of ``pages.snapshot_digest``."""
+    base = Path(root)
+    lines = {p.relative_to(base).as_posix(): sha256(p.read_bytes()) for p in base.rglob("*") if p.is_file()}
+    return sha256(json.dumps(lines, sort_keys=True, ensure_ascii=False).encode())
+
+
+def ledger_of(pages: DataFrame, edits: DataFrame, about: dict, *extra: str) -> tuple[dict, DataFrame]:
+    """The ledger of ``edits`` applied to ``pages(page, text)`` with ``page`` a path, and ``(path, derived)`` of the pages that change.
+
+    ``about`` goes before the counts; ``extra`` names further columns of the edits that the ledger lists.
+    """
+    from ..operators import repairs
+
+    done = repairs.apply_repairs(pages, edits)
+    digests = done.select("page", F.sha2(F.encode("text", "UTF-8"), 256).alias("source_md_sha256"), F.sha2(F.encode("derived", "UTF-8"), 256).alias("derived_md_sha256"))
+    rows = edits.select("id", F.col("page").alias("paddle_markdown"), "start_byte", "end_byte", "observed", "proposed", *extra).join(digests.withColumnRenamed("page", "paddle_markdown"), "paddle_markdown")
+    source = edits.select("page", "id", "start_byte", "end_byte", "observed", "proposed").join(digests.select("page", F.col("source_md_sha256").alias("source_sha256")), "page")
+    guards.require(repairs.provenance_violations(done, source))
+    names = ["id", "paddle_markdown", "start_byte", "end_byte", "observed", "proposed", *extra, "source_md_sha256", "derived_md_sha256"]
+    listed = [r.asDict(True) for r in rows.select(*names).orderBy("paddle_markdown", "start_byte").collect()]  # a book's approved edits: the ledger file itself
+    report = about | repairs.repair_totals(done, edits).first().asDict() | {"changes": listed}
+    return report, done.filter("derived <> text").select(F.col("page").alias("path"), "derived")
+
+
 def new_place(target: str, *inputs: str) -> Path:
     """The target, if it does not exist and lies in none of the inputs."""
     path = Path(target).resolve()
@@ -142,15 +173,22 @@ def publish_pair(documents: dict[str, dict]) -> None:
             Path(x).unlink(missing_ok=True)
 
 
-def publish_pages(source: str, changed: DataFrame, ledger: dict, target: str, ledger_name: str = "execution_report.json") -> None:
-    """A copy of ``source`` with ``changed(path, derived)`` written over, and the ledger; renamed into place when whole."""
+def publish_pages(source: str, changed: DataFrame, ledger: dict, target: str, ledger_name: str = "execution_report.json", expected_sha256: str | None = None) -> None:
+    """A copy of ``source`` with ``changed(path, derived)`` written over, and the ledger; renamed into place when whole.
+
+    With ``expected_sha256``, the copy must have that digest before it is changed.
+    """
     path = new_place(target, source)
     stage = path.parent / f".{path.name}.{uuid.uuid4().hex}"
     shutil.copytree(source, stage)
     try:
+        if expected_sha256 and folder_digest(stage) != expected_sha256:
+            raise Refused(f"source changed while it was copied: {source}")
         for r in changed.toLocalIterator():  # one page at a time
             (stage / r["path"]).write_bytes(r["derived"].encode())
         write_report(ledger, str(stage / ledger_name))
+        if path.exists():
+            raise Refused(f"appeared meanwhile: {target}")
         stage.rename(path)
     except BaseException:
         shutil.rmtree(stage, ignore_errors=True)
