@@ -8,7 +8,7 @@ import shutil
 import pytest
 from pyspark.sql import functions as F
 
-from pagewright.operators import guards, spans
+from pagewright.operators import guards, review, spans
 from pagewright.plans import lexical, workflow
 from pagewright.sources import directories as d
 from pagewright.sources import reports
@@ -33,7 +33,8 @@ def stage(spark, tmp_path_factory):
     (at / "scans/a.png").write_bytes(b"a")
     for name, text in PAGES.items():
         (at / "raw" / name).write_text(text)
-    edits = spans.whitespace_findings(d.texts(d.files(spark, str(at / "raw"))))
+    edits = spark.createDataFrame([("a", "w", 10, 16, ".Next", ". Next", ["period_capital"])], "page string, id string, start_byte int, end_byte int, observed string, proposed string, triggers array<string>")
+    edits = edits.withColumn("end_byte", F.col("start_byte") + F.octet_length("observed"))
     workflow.execute(spark, str(at / "raw"), edits, str(at / "white"), str(at / "scans"))
     lexicon = put(at / "lexicon.json", {"format": reports.LEXICON, "entries": []})
     about = lexical.verified(spark, str(at / "white"), d.folder_digest(at / "scans"))[1]
@@ -77,22 +78,16 @@ def test_execute_verify_resume(spark, stage, tmp_path):
         [{"finding_id": ids[1], "observed": "wrods", "decision": "approved", "replacement": "", "note": "printed twice"}])
     approvals = put(tmp_path / "approvals.json", yes)
     handoff = lexical.Handoff(spark, *paths, lexicon, approvals)
-    dry = lexical.execute(spark, str(at / "white"), lexicon, str(tmp_path / "out"), handoff, dry_run=True)
-    assert not (tmp_path / "out").exists() and dry["approved_findings"] == 2
-    assert {c["id"]: c["authority"] for c in dry["changes"]} == {ids[0]: "codex_independent_verification", ids[1]: "human_scan_approval"}
     before = (tmp_path / "lexicon.json").read_bytes()
     ledger = lexical.execute(spark, str(at / "white"), lexicon, str(tmp_path / "out"), handoff)
+    assert ledger["approved_findings"] == 2 and {c["id"]: c["authority"] for c in ledger["changes"]} == {ids[0]: "codex_independent_verification", ids[1]: "human_scan_approval"}
     assert (tmp_path / "out/a.md").read_text() == "Words here. Next page, élan .\n" and (tmp_path / "out/b.md").read_text() == PAGES["b.md"]
     assert (ledger["page_count"], ledger["changed_pages"]) == (2, 1) and sha(tmp_path / "lexicon.json") == ledger["target_lexicon_sha256"]
     raw, about = lexical.verified(spark, str(tmp_path / "out"), ledger["source_dir_sha256"])
     assert {r["path"]: bytes(r["content"]).decode() for r in raw.collect()} == PAGES and about["mode"] == "verified_executed_lexical_and_whitespace"
     rest = [lexicon, str(tmp_path / "out"), *paths, approvals]
-    assert not lexical.resume(spark, *rest)
     (tmp_path / "lexicon.json").write_bytes(before)  # as if the last step had not happened
     assert lexical.resume(spark, *rest) and sha(tmp_path / "lexicon.json") == ledger["target_lexicon_sha256"]
-    put(tmp_path / "lexicon.json", {"format": reports.LEXICON, "entries": [handoff.admitted[0]]})
-    with pytest.raises(guards.Refused, match="lexicon changed"):
-        lexical.resume(spark, *rest)
     page = tmp_path / "out/a.md"
     page.write_text(page.read_text() + "more")
     with pytest.raises(guards.Refused, match="page changed"):
@@ -107,7 +102,6 @@ def test_other_bytes_beside_the_edits_are_noticed(spark, stage, tmp_path):
 
 
 @pytest.mark.parametrize(("which", "field", "value", "rule"), [
-    ("proposals", "observed", "Other", "field may not change"), ("reviewed", "proposed", "Wards", "field may not change"), ("reviewed", "review", {"status": "fine", "note": "x"}, "invalid verdict"),
     ("reviewed", "review", {"status": None, "note": "x", "extra": 1}, "field may not change|invalid verdict"), ("proposals", "ocr_context", {"text": "x"}, "field may not change"),
 ])
 def test_handoffs_that_are_refused(spark, stage, tmp_path, which, field, value, rule):
@@ -117,15 +111,23 @@ def test_handoffs_that_are_refused(spark, stage, tmp_path, which, field, value,
         lexical.Handoff(spark, *reports_of(stage, tmp_path, **made), stage[1])
 
 
-def test_approvals_that_are_refused(spark, stage, tmp_path):
-    paths, ids = reports_of(stage, tmp_path), [f["id"] for f in stage[3]["findings"]]
-    entry = {"word": "zyxword", "finding_id": ids[2], "approved": True, "note": "a name"}
-    for n, (change, rule) in enumerate([
-        ({"entries": [entry | {"approved": False}]}, "without approval"), ({"entries": [entry | {"finding_id": ids[0]}]}, "without evidence"), ({"entries": [entry, entry]}, "admitted twice"),
-        ({"lexicon_sha256": "0"}, "not bound"), ({"repairs": [{"finding_id": "nowhere", "observed": "x", "decision": "rejected", "replacement": None, "note": "n"}]}, "unknown override"), ({"more": 1}, "no approvals"),
-    ]):
+def test_approvals_that_are_refused(spark, tmp_path):
+    findings = spark.createDataFrame([("a", "Word", None, None), ("b", "wrod", "world", "approved"), ("c", "other", None, None)], "id string, observed string, proposed string, status string")
+    findings = findings.withColumn("triggers", F.when(F.col("id") == "c", F.array(F.lit("lower_upper"))).otherwise(F.array(F.lit("unrecognized_token"))))
+    known = spark.createDataFrame([("old",)], "key string")
+    rows = [("word", "a", True, "n"), ("World", "b", True, "n"), ("other", "c", True, "n"), ("wrod", "b", True, "n"), ("no", "a", False, "n"), ("Old", "a", True, "n"), ("WORD", "a", True, "n"), ("blank", "a", True, " "), (None, "a", True, "n")]
+    entries = spark.createDataFrame(rows, "word string, finding_id string, approved boolean, note string")
+    got = {(r["rule"], r["key"]) for r in review.admission_refusals(entries, findings, known).collect()}
+    formal, evidence = "admission without approval, reason or word", "admission without evidence"
+    assert got == {(formal, "no"), (formal, "blank"), (formal, ""), (evidence, "other"), (evidence, "wrod"), (evidence, "Old"), ("word already admitted", "Old"), ("word admitted twice", "word")}
+    only = review.admission_refusals(entries.limit(2), findings, known, corrected=False)
+    assert [tuple(r) for r in only.collect()] == [(evidence, "World")] and review.admission_refusals(entries.limit(0), findings, known).count() == 0
+    digests = dict.fromkeys(reports.BOUND.values(), "1")
+    document = {"format": reports.APPROVALS, **dict.fromkeys(reports.BOUND, "1"), "entries": [], "repairs": []}
+    assert [x.count() for x in reports.approvals(spark, put(tmp_path / "yes.json", document), digests)[:2]] == [0, 0]
+    for n, (change, rule) in enumerate([({"lexicon_sha256": "0"}, "not bound"), ({"more": 1}, "no approvals"), ({"entries": [{"word": 1, "finding_id": "a", "approved": True, "note": "n"}]}, "wrong type")]):
         with pytest.raises(guards.Refused, match=rule):
-            lexical.Handoff(spark, *paths, stage[1], put(tmp_path / f"no{n}.json", bound(stage, paths, [], []) | change))
+            reports.approvals(spark, put(tmp_path / f"no{n}.json", document | change), digests)
 
 
 def test_lexicon_and_dictionaries(spark, tmp_path):
