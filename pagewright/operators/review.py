@@ -11,6 +11,8 @@ from .guards import duplicates, violations
 #: Fields that each stage may write.
 PROPOSAL_FIELDS = ("proposed", "proposal_source", "evidence", "proposal_note", "lexicon_suggestion")
 REVIEW_FIELDS = ("status", "note")
+#: Forms that one bulk rejection may name. Fixed value.
+MOST_FORMS = 10_000
 SOURCE_FAITHFUL = "SOURCE_FAITHFUL_NONLEXICAL_VERIFIED:"
 
 
@@ -266,9 +268,12 @@ def bulk_reject(groups: DataFrame, decisions: DataFrame, keys: DataFrame, note:
     """Violations and the new decisions of rejecting forms at once, all or none.
 
     Each form must be undecided and unknown, and all its occurrences repaired and verified (or all source-faithful).
+    One to ``MOST_FORMS`` forms, each named once.
     """
     asked = keys.select("key").distinct().join(groups, "key", "left").join(decisions.select("key", F.col("decision").alias("_had")), "key", "left")
     ready = (F.col("repairs") == 0) & (F.col("source_faithful") == F.col("n")) if faithful else (F.col("repairs") == F.col("n")) & (F.col("verified") == F.col("n"))
     bad = violations(asked, "form not ready for bulk rejection", "key", ~F.coalesce(ready & F.col("_had").isNull() & ~F.col("already_known"), F.lit(False)))
+    bad = bad.unionByName(violations(keys.agg(F.count("*").alias("n")), "number of forms", "n", ~F.col("n").between(1, MOST_FORMS)))
+    bad = bad.unionByName(violations(duplicates(keys, "key"), "form named twice", "key"))
     new = asked.select("key", F.lit("rejected").alias("decision"), F.lit(None).cast("string").alias("finding_id"), F.lit(note).alias("note"))
     return bad, upsert(decisions.select("key", "decision", "finding_id", "note"), new, "key")

@@ -95,6 +95,10 @@ def test_bulk_reject_is_all_or_nothing(spark):
     bad, new = ask("k")
     assert bad.count() == 0 and new.first()["decision"] == "rejected"
     assert ask("k", "m")[0].count() == 1 and ask("nowhere")[0].count() == 1
+    rules = lambda keys: {r["rule"] for r in review.bulk_reject(groups, decisions, keys, "n")[0].collect()}
+    asked = spark.createDataFrame([("k",), ("k",)], "key string")
+    assert rules(asked) == {"form named twice"} and rules(asked.limit(0)) == {"number of forms"}
+    assert rules(spark.range(review.MOST_FORMS + 1).selectExpr("CAST(id AS STRING) AS key")) == {"form not ready for bulk rejection", "number of forms"}
 
 
 def test_segments():
