@@ -48,7 +48,8 @@ def components(spark: SparkSession, edges: DataFrame) -> DataFrame:
     that label's own label, so the number of rounds grows with the logarithm of
     the longest chain. Rounds are written to the shared folder and deleted once the next is;
     nothing but one row count reaches the driver. Nodes without an edge are absent; an empty
-    edge table gives an empty result; null ends are ignored.
+    edge table gives an empty result; null ends are ignored. ``edges`` is read more than once and must be the
+    same each time, so it must be a written table if the order of rows can change it.
     """
     pairs = edges.select(F.col("a").cast("long"), F.col("b").cast("long")).filter("a <> b")
     pairs = written(spark, pairs.union(pairs.select("b", "a")).toDF("a", "b").distinct(), "edges")

@@ -240,7 +240,9 @@ def links(spark: SparkSession, distinct: DataFrame) -> DataFrame:
 def groups_of(spark: SparkSession, rows: DataFrame) -> DataFrame:
     """``(fp, root)`` of every fingerprint in ``rows``: equal roots are one group."""
     distinct = written(spark, rows.select("fp").distinct(), "distinct")
-    roots = components(spark, links(spark, distinct)).withColumnRenamed("node", "fp")
+    # written before anything else reads it: a shard's forest follows the order in which its rows arrive, so a second run may report another
+    found = written(spark, links(spark, distinct), "links")
+    roots = components(spark, found).withColumnRenamed("node", "fp")
     return distinct.join(roots, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"))
 
 

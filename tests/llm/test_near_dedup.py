@@ -4,6 +4,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import types as T
@@ -59,6 +60,29 @@ def test_forest_finds_every_link(spark, monkeypatch, dense, sample):
     assert len(set(zip(want, got))) == len(set(want)) == len(set(got))
 
 
+def test_groups_hold_if_a_shard_reports_another_forest_each_time(spark, monkeypatch):
+    """On a cluster rows reach a shard in any order, and the spanning forest of its links follows that order."""
+
+    def links(spark, distinct):
+        def find(batches):
+            full = np.concatenate([b.column("fp").to_numpy() for b in batches]).view(np.uint64)
+            np.random.default_rng().shuffle(full)
+            pairs = np.array(simhash.near_links(full, 0)).reshape(-1, 2)
+            yield pa.RecordBatch.from_arrays([pa.array(full[pairs[:, k]].view(np.int64)) for k in (0, 1)], ["a", "b"])
+
+        return distinct.select("fp").coalesce(1).mapInArrow(find, "a long, b long")
+
+    monkeypatch.setattr(simhash, "links", links)
+    rng = random.Random(8)
+    fps = set()
+    for centre in [rng.getrandbits(62) for _ in range(20)]:
+        fps |= {centre ^ 1 << rng.randrange(62) ^ 1 << rng.randrange(62) for _ in range(18)}
+    fps = sorted(fps)
+    roots = {r["fp"]: r["root"] for r in simhash.groups_of(spark, spark.createDataFrame([(x,) for x in fps], "fp long")).collect()}
+    want, got = brute_groups(fps), [roots[x] for x in fps]
+    assert len(set(zip(want, got))) == len(set(want)) == len(set(got))
+
+
 def test_shards_stay_small_and_keep_close_halves_together():
     rng = np.random.default_rng(6)
     fps = rng.integers(0, 1 << 63, 20000, np.uint64)
