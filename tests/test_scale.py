@@ -32,3 +32,30 @@ def test_unknown_tokens_span_batches(spark):
     words = spark.createDataFrame([("beta",)], "key string")
     got = vocabulary.unknown_in(spark, pages, words).groupBy("page", "book", "key").agg(F.count("*").alias("n"), F.max("ordinal").alias("last")).collect()
     assert sorted(map(tuple, got)) == [(1, "x", "alpha", 9000, 26997), (1, "x", "gamma", 9000, 26999), (3, "z", "alpha", 1, 1), (3, "z", "délta", 1, 0)]
+
+
+ODD = ["", " ", "\n\t", None, "a", "`", "``", "Naïve café 🙂\r\nend", "word " * 3000, "plain text"]
+
+
+def odd_tables(spark, folder):
+    """A folder with 200 documents of odd texts, in turn."""
+    rows = [(i, ODD[i * 7 % len(ODD)], f"src{i % 3}") for i in range(200)]
+    spark.createDataFrame(rows, "doc_id long, text string, source string").write.mode("overwrite").parquet(f"{folder}/documents.parquet")
+    return str(folder)
+
+
+def same_as_sql(spark, name, folder):
+    import duckdb
+
+    import __spark_entry__ as entry
+
+    db = duckdb.connect()
+    db.execute(f"CREATE VIEW documents AS SELECT * FROM '{folder}/documents.parquet/*.parquet'")
+    got = entry.queries()[name](spark, folder)
+    want = db.sql(f"SELECT {', '.join(got.columns)} FROM ({entry.oracle_sql()[name]})").fetchall()
+    key = lambda r: tuple(map(repr, r))
+    assert sorted(map(tuple, got.collect()), key=key) == sorted(want, key=key)
+
+
+def test_page_presence_on_blank_texts(spark, tmp_path):
+    same_as_sql(spark, "page_presence", odd_tables(spark, tmp_path))
