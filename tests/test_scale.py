@@ -59,3 +59,7 @@ def same_as_sql(spark, name, folder):
 
 def test_page_presence_on_blank_texts(spark, tmp_path):
     same_as_sql(spark, "page_presence", odd_tables(spark, tmp_path))
+
+
+def test_visible_text_of_empty_texts(spark, tmp_path):
+    same_as_sql(spark, "visible_text", odd_tables(spark, tmp_path))
