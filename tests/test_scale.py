@@ -63,3 +63,39 @@ def test_page_presence_on_blank_texts(spark, tmp_path):
 
 def test_visible_text_of_empty_texts(spark, tmp_path):
     same_as_sql(spark, "visible_text", odd_tables(spark, tmp_path))
+
+
+def test_handoff_guards_share_one_join(spark, monkeypatch):
+    """Blocks of a few rows against plain Python; ids are dealt out once a side."""
+    import random
+
+    from pagewright.operators import review
+
+    monkeypatch.setattr(review, "BLOCK_ROWS", 7, raising=False)
+    r = random.Random(5)
+    source = [(f"f{i}", i, f"o{i % 5}", None) for i in range(300)]
+    back = {file: [[id_, old, "yes"] for id_, p, old, _ in source if p % 3 == file] for file in range(3)}
+    for rows in back.values():
+        for _ in range(6):
+            i = r.randrange(len(rows) - 1)
+            rows[i], rows[i + 1] = rows[i + 1], rows[i]
+        rows[r.randrange(len(rows))][1] = "changed"
+        del rows[r.randrange(len(rows))]
+        rows.insert(r.randrange(len(rows)), list(rows[r.randrange(len(rows))]))
+        rows.insert(r.randrange(len(rows)), [f"x{len(rows)}", "o", None])
+        rows.append([f"x{len(rows)}", "o", None])
+    batches = [(file, 2**33 + n * 9 + n % 4, *row) for file, rows in back.items() for n, row in enumerate(rows)]
+    batches.sort(key=lambda b: r.random())
+    place, want = {id_: (p, old) for id_, p, old, _ in source}, []
+    seen = [b[2] for b in batches]
+    for file in back:
+        before = None
+        for _, _, id_, old, _ in sorted(b for b in batches if b[0] == file):
+            p, was = place.get(id_, (None, None))
+            want += [("unknown finding", id_)] * (p is None) + [("unauthorised edit", id_)] * (p is not None and was != old)
+            want += [("finding order changed", id_)] * (p is not None and before is not None and p <= before)
+            before = p
+    want += [("duplicate finding", i) for i in set(seen) if seen.count(i) > 1] + [("missing finding", i) for i in place if i not in seen]
+    bad = review.merge_guards(spark.createDataFrame(source, "id string, position long, observed string, status string"), spark.createDataFrame(batches, "file long, ordinal long, id string, observed string, status string"), ("status",))
+    assert bad._jdf.queryExecution().toString().split("== Physical Plan ==")[1].count("hashpartitioning(id") == 2
+    assert sorted(map(tuple, bad.collect())) == sorted(want) and len({rule for rule, _ in want}) == 5
