@@ -99,3 +99,18 @@ def test_handoff_guards_share_one_join(spark, monkeypatch):
     bad = review.merge_guards(spark.createDataFrame(source, "id string, position long, observed string, status string"), spark.createDataFrame(batches, "file long, ordinal long, id string, observed string, status string"), ("status",))
     assert bad._jdf.queryExecution().toString().split("== Physical Plan ==")[1].count("hashpartitioning(id") == 2
     assert sorted(map(tuple, bad.collect())) == sorted(want) and len({rule for rule, _ in want}) == 5
+
+
+def test_eligibility_moves_no_rows(spark):
+    """Most findings have no approved word: they must not meet in one task of a join."""
+    from pagewright.operators import review
+
+    rows = [(f"f{i}", "word", *("doesn't nein Straße neu neu".split()[i % 5], "approved")[: 2 if i % 4 == 0 else 0]) if i % 4 == 0 else (f"f{i}", "word", "neu" if i % 4 == 1 else None, None) for i in range(400)]
+    found = spark.createDataFrame(rows, "id string, observed string, proposed string, status string")
+    lexicon = spark.createDataFrame([("nein",), ("strasse",), ("nein",)], "key string")
+    want = sorted((i, o, p, s, p is None and s is None, s == "approved" and p == "neu") for i, o, p, s in rows)
+    few, many = review.eligibility(found, lexicon), review.eligibility(found, lexicon, limit=1)
+    columns = ["id", "observed", "proposed", "status", "eligible", "corrected_admissible"]
+    assert sorted(map(tuple, few.select(columns).collect())) == want == sorted(map(tuple, many.select(columns).collect()))
+    assert "hashpartitioning" not in few._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(_word" in many._jdf.queryExecution().toString() and many.count() == 400
