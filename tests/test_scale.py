@@ -114,3 +114,26 @@ def test_eligibility_moves_no_rows(spark):
     assert sorted(map(tuple, few.select(columns).collect())) == want == sorted(map(tuple, many.select(columns).collect()))
     assert "hashpartitioning" not in few._jdf.queryExecution().executedPlan().toString()
     assert "hashpartitioning(_word" in many._jdf.queryExecution().toString() and many.count() == 400
+
+
+def test_listed_inventory_passes_ids_through(spark):
+    """A common form spans many batches; its ids are a digest of all of them in order, and no task holds their list."""
+    import hashlib
+    import random
+
+    rows = [(("common", "Rare", "Common", "other")[i % 7 if i % 7 < 4 else 0], 1000 - i, f"id{i}") for i in range(1000)] + [("null", 1, None), ("null", 0, "x"), ("null", 2, ""), ("none", 5, None)]
+    random.Random(1).shuffle(rows)
+    found = spark.createDataFrame([(o.lower(), *r) for r in rows if (o := r[0])], "key string, observed string, order long, id string")
+    want = {}
+    for observed, _, id_ in sorted(rows, key=lambda r: r[1]):
+        word, n, ids = want.get(observed.lower(), (observed, 0, []))
+        want[observed.lower()] = word, n + 1, ids + [id_] * (id_ is not None)
+    size = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 17)
+    try:
+        out = vocabulary.listed_inventory(found)
+        assert "collect_list" not in out._jdf.queryExecution().executedPlan().toString()
+        got = sorted(map(tuple, out.collect()))
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+    assert got == sorted((k, word, n, hashlib.md5(",".join(ids).encode()).hexdigest()) for k, (word, n, ids) in want.items())
