@@ -137,3 +137,18 @@ def test_listed_inventory_passes_ids_through(spark):
     finally:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
     assert got == sorted((k, word, n, hashlib.md5(",".join(ids).encode()).hexdigest()) for k, (word, n, ids) in want.items())
+
+
+def test_dealt_tables_are_joined_where_they_lie(spark, tmp_path):
+    """The hand-off's guards deal out nothing by id; its table leaves no name in the catalog."""
+    from pagewright.operators import review
+    from pagewright.plans import queries
+
+    spark.createDataFrame([(i, "alpha beta gamma", f"src{i % 2}") for i in range(40)], "doc_id long, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([("beta",)], "text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    source, proposals, verdicts = queries._handoff(spark, str(tmp_path))
+    assert source.count() == 80 and not [t for t in spark.catalog.listTables() if t.name.startswith("pagewright")]
+    proposed, reviewed, guards = review.join_all(source, proposals, verdicts)
+    for df in (proposed, reviewed, *guards):
+        assert "hashpartitioning(id" not in df._jdf.queryExecution().executedPlan().toString()
+        assert df.count() == (80 if "observed" in df.columns else 0)
